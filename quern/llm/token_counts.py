@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._bpe import NONE, Pairs, merge_rounds
 from ._spark import slices
 
-_U = np.uint64
-_NONE = np.int32(1 << 30)
 #: Pre-tokens of more characters are merged one by one with a heap, in n log n steps instead of n rounds.
 LONG = 48
 #: Distinct pre-tokens merged at once.
@@ -59,42 +58,12 @@ class Merges:
                     merged.append(self.number[p])
                     rank.append(self.rank_of[p])
         self.width = len(self.number) + 1
-        keys = np.array(left, np.int64) * self.width + np.array(right, np.int64)
-        self.mask = (1 << max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))) - 1
-        self.slots = np.full(self.mask + 1, -1, np.int64)
-        todo = np.arange(len(keys))
-        at = self._slot(keys)
-        while len(todo):
-            free = self.slots[at[todo]] < 0
-            self.slots[at[todo[free]]] = todo[free]
-            todo = todo[self.slots[at[todo]] != todo]
-            at[todo] = (at[todo] + 1) & self.mask
-        full = self.slots >= 0
-        self.key_at = np.full(self.mask + 1, -1, np.int64)
-        self.key_at[full] = keys[self.slots[full]]
-        self.rank_at = np.full(self.mask + 1, _NONE, np.int32)
-        self.rank_at[full] = np.array(rank, np.int32)[self.slots[full]]
-        self.merged_at = np.zeros(self.mask + 1, np.int32)
-        self.merged_at[full] = np.array(merged, np.int32)[self.slots[full]]
+        self.pairs = Pairs(left, right, rank, merged, self.width)
         codes = {ord(c): i for c, i in self.number.items() if len(c) == 1}
         self.code = np.full(0x110000, self.width - 1, np.int32)
         self.code[list(codes)] = list(codes.values())
         self.code[0x20] = self.code[ord(_SPACE)]
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(40)).astype(np.int64) & self.mask
-
-    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, merged symbol) of pairs; rank _NONE where they don't merge."""
-        keys = left.astype(np.int64) * self.width + right
-        at = self._slot(keys)
-        todo = np.flatnonzero((self.key_at[at] != keys) & (self.key_at[at] >= 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & self.mask
-            todo = todo[(self.key_at[at[todo]] != keys[todo]) & (self.key_at[at[todo]] >= 0)]
-        hit = self.key_at[at] == keys
-        return np.where(hit, self.rank_at[at], _NONE), self.merged_at[at]
-
 
 def merges_of(path: str) -> Merges:
     import sentencepiece
@@ -119,11 +88,11 @@ def _by_heap(m: Merges, text: str) -> int:
 
     def look(a: int, b: int) -> tuple[int, int]:
         if (a, b) not in pair:
-            r, x = m.find(np.array([a]), np.array([b]))
+            r, x = m.pairs.find(np.array([a]), np.array([b]))
             pair[a, b] = int(r[0]), int(x[0])
         return pair[a, b]
 
-    heap = [(r, i, sym[i], sym[i + 1], x) for i in range(n - 1) for r, x in [look(sym[i], sym[i + 1])] if r < _NONE]
+    heap = [(r, i, sym[i], sym[i + 1], x) for i in range(n - 1) for r, x in [look(sym[i], sym[i + 1])] if r < NONE]
     heapq.heapify(heap)
     while heap:
         _, i, a, b, x = heapq.heappop(heap)
@@ -136,7 +105,7 @@ def _by_heap(m: Merges, text: str) -> int:
         for u, v in ((before[i], i), (i, after[i])):
             if u >= 0 and v < n:
                 r, y = look(sym[u], sym[v])
-                if r < _NONE:
+                if r < NONE:
                     heapq.heappush(heap, (r, u, sym[u], sym[v], y))
     return sum(1 if s < m.known else k for s, k, on in zip(sym, size, alive, strict=True) if on)
 
@@ -144,39 +113,8 @@ def _by_heap(m: Merges, text: str) -> int:
 def merge_rows(m: Merges, symbols: np.ndarray, n_bytes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Tokens of each row of a ragged array of symbols."""
     out = np.zeros(len(lengths), np.int64)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    live = np.flatnonzero(lengths)
-    sym, size = symbols, n_bytes
-    # rank[i]: of the pair i, i + 1; the last of each row has none
-    rank, merged = m.find(sym[:-1], sym[1:]) if len(sym) > 1 else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-    rank, merged = np.append(rank, _NONE).astype(np.int32)[: len(sym)], np.append(merged, 0)[: len(sym)]
-    rank[np.cumsum(lengths[live]) - 1] = _NONE
-    while len(live):
-        first = np.searchsorted(row, live)
-        best = np.minimum.reduceat(rank, first)
-        done = best == _NONE
-        if done.any():
-            # rows without a pair are counted and leave
-            over = np.repeat(done, np.diff(np.append(first, len(row))))
-            out += np.bincount(row[over], _weights(m, sym[over], size[over]), minlength=len(out)).astype(np.int64)
-            row, sym, size, rank, merged = row[~over], sym[~over], size[~over], rank[~over], merged[~over]
-            live, best = live[~done], best[~done]
-            if not len(live):
-                break
-            first = np.searchsorted(row, live)
-        lowest = np.flatnonzero(rank == np.repeat(best, np.diff(np.append(first, len(row)))))
-        at = lowest[np.concatenate(([True], row[lowest[1:]] != row[lowest[:-1]]))]
-        sym[at] = merged[at]
-        size[at] += size[at + 1]
-        rank[at] = rank[at + 1]  # for the row's end; looked up below otherwise
-        keep = np.ones(len(sym), bool)
-        keep[at + 1] = False
-        row, sym, size, rank, merged = row[keep], sym[keep], size[keep], rank[keep], merged[keep]
-        at = at - np.arange(len(at))
-        last = np.append(row[1:] != row[:-1], True)
-        rank[last] = _NONE
-        redo = np.concatenate([at[~last[at]], (at - 1)[(at > 0) & ~last[at - 1]]])
-        rank[redo], merged[redo] = m.find(sym[redo], sym[redo + 1])
+    for row, sym, size in merge_rounds(m.pairs, symbols, n_bytes, lengths):
+        out += np.bincount(row, _weights(m, sym, size), minlength=len(out)).astype(np.int64)
     return out
 
 
@@ -252,6 +190,10 @@ class Counter:
         return sums[place[1:]] - sums[place[:-1]]
 
 
+#: A worker's counters by model: what it has counted helps its later tasks.
+_counters: dict[str, Counter] = {}
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of `docs` (doc_id and text are read; other columns are left alone).
 
@@ -264,7 +206,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
     merges = spark.sparkContext.broadcast(merges_of(model_path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(merges.value)
+        counter = _counters.setdefault(model_path, Counter(merges.value))
         for batch in slices(batches, "text", 4 << 20):
             data, offsets = _text.utf8(batch.column(1))
             n = counter.of_texts(data, offsets)
