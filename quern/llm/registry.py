@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ._spark import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -56,8 +68,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses, line_dedup
+
+    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql()}
