@@ -41,6 +41,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import nearest
 
@@ -68,7 +74,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op6_suffix_array_dedup, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
