@@ -21,6 +21,7 @@ the others meet to be intersected.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +30,21 @@ from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
 
-from . import _text
+from . import _bloom, _text
 from ._spark import slices, stored
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
-#: Parity bits of a set.
+#: Parity bits of a set, at least; a large one has about as many as tokens.
 BITS = 1024
 #: At most so many tokens are classed as frequent; by counting, none of them stands in fewer than one in so many of all sets' tokens.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 22
 #: Sets of at most this size index pairs of frequent tokens.
 SMALL = 160
 #: Bits of the filter for classes whose sets are needed.
-FILTER_BITS = 1 << 24
-#: Members of a bucket that meet in one task while pairs are intersected.
-SALT = 256
+FILTER_BITS = 1 << 26
+#: About so many sets are compared with one other in a task.
+TOGETHER = 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +83,10 @@ def set_ids(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def parity(tokens: np.ndarray) -> list[int]:
     """Bit b tells whether an odd number of tokens falls on b: two sets differ in at least as many tokens as their parities do in bits."""
-    return np.packbits(np.bincount((tokens >> _U(20)).astype(np.int64) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.int64).tolist()
+    bits = BITS
+    while bits < len(tokens):
+        bits *= 2
+    return np.packbits(np.bincount((tokens >> _U(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1).view(np.int64).tolist()
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
@@ -102,7 +106,7 @@ def _survey(width: int, frequent: int):
 
         def fold():
             nonlocal counts, held, n_held
-            if not held:
+            if not n_held:
                 return
             allt = np.concatenate([*held, counts[0]])
             weight = np.concatenate([np.ones(n_held, np.int64), counts[1]])
@@ -150,7 +154,7 @@ class Order:
 
     def __init__(self, tokens: np.ndarray, hits: np.ndarray):
         by_count = np.lexsort((tokens, hits))
-        rank = np.empty(len(tokens), np.int64)
+        rank = np.empty(len(tokens), np.int32)
         rank[by_count] = np.arange(len(tokens))
         by_token = np.argsort(tokens)
         self.tokens, self.rank = tokens[by_token], rank[by_token]
@@ -168,13 +172,13 @@ class Order:
         return out
 
 
-def index_keys(order: Order, s: np.ndarray, percent: int, small: int = SMALL) -> np.ndarray:
-    """The keys under which one set is indexed."""
+def index_keys(order: Order, s: np.ndarray, percent: int, small: int = SMALL) -> tuple[np.ndarray, int]:
+    """(keys under which one set is indexed, its rare tokens)."""
     n = len(s)
     p = n - -(-percent * n // 100) + 1
     keys = np.sort(order.keys(s))
     head = keys[:p]
-    rare = int(np.searchsorted(head, _U(1 << 63)))
+    rare, own = (int(np.searchsorted(x, _U(1 << 63))) for x in (head, keys))
     out = [_text.mix(head[:rare] + _U(1))]
     if rare < p:
         if n > small:
@@ -187,7 +191,7 @@ def index_keys(order: Order, s: np.ndarray, percent: int, small: int = SMALL) ->
             if n == 1 or p + 1 > n:
                 # too small a set to be extended: its one token is its key
                 out.append(_text.mix(ext + _U(1)))
-    return np.concatenate(out)
+    return np.concatenate(out), own
 
 
 def _index(width: int, percent: int, order):
@@ -199,12 +203,12 @@ def _index(width: int, percent: int, order):
                 if ids[i] in seen:
                     continue
                 seen.add(ids[i])
-                k = index_keys(table, tokens[at[i] : at[i + 1]], percent)
+                k, own = index_keys(table, tokens[at[i] : at[i + 1]], percent)
                 keys.append(k)
                 cids.append(np.full(len(k), ids[i]))
-                sizes.append(np.full(len(k), at[i + 1] - at[i], np.int32))
+                sizes.append(np.full(len(k), (own << 32) + at[i + 1] - at[i]))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cids).view(np.int64)), pa.array(np.concatenate(sizes))], names=["key", "cid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cids).view(np.int64)), pa.array(np.concatenate(sizes))], names=["key", "cid", "rank"])
 
     return f
 
@@ -213,8 +217,7 @@ def _emit_sets(width: int, wanted):
     def f(batches):
         bits, seen = wanted.value, set()
         for _, tokens, at, ids in _sets_of(batches, width):
-            a, b = _filter_places(ids)
-            hit = np.flatnonzero(bits[a] & bits[b] & (np.diff(at) > 0))
+            hit = np.flatnonzero(_bloom.has(bits, ids) & (np.diff(at) > 0))
             keep = []
             for i in hit.tolist():
                 if ids[i] not in seen:
@@ -226,28 +229,14 @@ def _emit_sets(width: int, wanted):
     return f
 
 
-def _filter_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (ids & _U(FILTER_BITS - 1)).astype(np.int64), ((ids >> _U(32)) & _U(FILTER_BITS - 1)).astype(np.int64)
-
-
-def _filter_of(cids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over the column cid, put together on the executors word by word."""
-    c = F.col("cid")
-    place = F.explode(F.array(c.bitwiseAND(FILTER_BITS - 1), F.shiftrightunsigned(c, 32).bitwiseAND(FILTER_BITS - 1)))
-    got = cids.select(place.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 32, np.uint32)
-    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes whose sets are similar enough."""
     spark = docs.sparkSession
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = spark.sparkContext.broadcast(_filter_of(needed))
+    wanted = spark.sparkContext.broadcast(_bloom.build(needed, "cid", FILTER_BITS))
     sets = docs.select("text").mapInArrow(_emit_sets(width, wanted), "cid long, tokens binary")
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALT)).cast("int"))
-    # a left side with few members is met in few tasks: one for each `salt` that its members have
+    # a left side with many partners is met in several places
+    salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("k")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / TOGETHER)).cast("int").alias("salt"))
     use = salted.select(F.col("a").alias("cid"), "a", "salt", F.lit(True).alias("left")).distinct().unionByName(salted.select(F.col("b").alias("cid"), "a", "salt", F.lit(False).alias("left")))
     met = use.join(sets.dropDuplicates(["cid"]), "cid")
 
@@ -266,10 +255,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return met.groupBy("a", "salt").applyInPandas(compare, "a long, b long")
 
 
-def _may_link(percent: int) -> Column:
-    """Whether sizes and parities leave it open that the sets of a and b are similar enough."""
-    differ = F.expr("aggregate(zip_with(a_parity, b_parity, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    return (F.col("a_n") + F.col("b_n")) * (100 - percent) >= differ * (100 + percent)
+def _may_link(percent: int, a: str, b: str, n: Column) -> Column:
+    """Whether the parities a and b leave it open that two sets, of n tokens together, are similar enough."""
+    # sizes that fit differ by less than a factor of two, so the longer parity is as long or twice that; its halves are laid over each other
+    word = lambda x, at: f"coalesce(get({x}, {at}), 0L)"
+    over = lambda x, y: f"if(size({x}) > size({y}), {word(x, f'i + size({y})')}, 0L)"
+    differ = F.expr(f"aggregate(sequence(0, least(size({a}), size({b})) - 1), 0, (s, i) -> s + bit_count({word(a, 'i')} ^ {word(b, 'i')} ^ {over(a, b)} ^ {over(b, a)}))")
+    return n * (100 - percent) >= differ * (100 + percent)
+
+
+#: Words of 64 parity bits that are compared first.
+SIGNATURE = 8
+#: Buckets of more members test pairs while they are made.
+FEW = 3
+
+
+def _signature() -> Column:
+    """Column parity laid over itself to SIGNATURE words: still at most as many bits differ as tokens do."""
+    return F.expr(f"transform(sequence(0, {SIGNATURE - 1}), i -> aggregate(sequence(0, size(parity) div {SIGNATURE} - 1), 0L, (s, j) -> s ^ get(parity, i + {SIGNATURE} * j)))")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -291,35 +294,48 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     hits = survey.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits"))
     total = survey.where("cid is null and token is null").agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
     # at most FREQUENT tokens can each hold more than one in FREQUENT of all; so the table has a bound whatever the corpus
-    often = hits.where(F.col("hits") > max(2, total // FREQUENT)).toPandas()
-    order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(_U), often["hits"].to_numpy(np.int64)))
-    index = docs.select("text").mapInArrow(_index(width, percent, order), "key long, cid long, n int")
+    often = hits.where(F.col("hits") > max(2, total // FREQUENT)).toArrow()
+    order = spark.sparkContext.broadcast(Order(often["token"].to_numpy().view(_U), often["hits"].to_numpy()))
+    index = docs.select("text").mapInArrow(_index(width, percent, order), "key long, cid long, rank long")
     by_key = Window.partitionBy("key")
+    # `rank` is a set's number of rare tokens, then its size: the first member of a bucket is the one that differs least from what many share
+    size = lambda x: F.col(x).bitwiseAND(0xFFFFFFFF)
     buckets = stored(
-        index.withColumn("low", F.min(F.struct("n", "cid")).over(by_key))
+        index.withColumn("first", F.min(F.struct("rank", "cid")).over(by_key))
         .withColumn("high", F.max("cid").over(by_key))
         .withColumn("least", F.min("cid").over(by_key))
         .where("high <> least")
-        .select("key", "cid", "n", F.col("low.cid").alias("pivot"), F.col("low.n").alias("pivot_n"))
+        .select("key", "cid", size("rank").alias("n"), F.col("first.cid").alias("pivot"), size("first.rank").alias("pivot_n"))
     )
     classes = members.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("parity").alias("parity"))
 
     def screened(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity"))
-        return stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link(percent)).select("a", "b"))
+        return stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link(percent, "a_parity", "b_parity", F.col("a_n") + F.col("b_n"))).select("a", "b"))
 
-    fits = lambda x, y: F.col(y) * percent <= F.col(x) * 100
+    fits = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
     star = screened(buckets.where("cid <> pivot").where(fits("pivot_n", "n")).select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
     links = stored(_verified(star, docs, width, percent))
     found = connected_components(links, "a", "b")
     # what a bucket's first comparisons left in several components
     named = buckets.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     sized = named.groupBy("key", "component").agg(F.count("*").alias("k"))
-    most = sized.groupBy("key").agg(F.max(F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.component").alias("main"))
-    open_ = stored(named.join(most, "key").select("key", "cid", "n", "component", "main"))
-    x, y = open_.where("component <> main").alias("x"), open_.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent))
-    rest = screened(met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    most = sized.groupBy("key").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("members"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.component").alias("main"), "members")
+    open_ = stored(named.join(most, "key").select("key", "cid", "n", "component", "main", "members"))
+
+    def pairs_of(rows: DataFrame, *tests: Column) -> DataFrame:
+        """Pairs of a member outside its bucket's main component with one of another component."""
+        x, y = rows.where("component <> main").alias("x"), rows.alias("y")
+        on = reduce(lambda a, b: a & b, [F.col("x.key") == F.col("y.key"), F.col("x.component") != F.col("y.component"), fits("x.n", "y.n"), *tests])
+        return x.join(y, on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+
+    # in a larger bucket a pair that shares many keys would be made for each: so the bounds on its difference are tested while members are joined
+    parities = classes.where("parity is not null").select("cid", "parity", _signature().alias("s"))
+    signed = open_.where(F.col("members") > FEW).join(parities, "cid").select("key", "cid", "n", "component", "main", "parity", *(F.col("s")[i].alias(f"s{i}") for i in range(SIGNATURE)))
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SIGNATURE)))
+    both = F.col("x.n") + F.col("y.n")
+    met = pairs_of(open_.where(F.col("members") <= FEW)).union(pairs_of(signed, both * (100 - percent) >= differ * (100 + percent), _may_link(percent, "x.parity", "y.parity", both)))
+    rest = screened(met.distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = stored(_verified(rest, docs, width, percent))
     found = connected_components(links.union(more), "a", "b")
     # a class takes the smallest doc_id of its own rows; a component that of its classes
@@ -327,3 +343,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
     named = own.join(least, "component").select("cid", "component_id")
     return members.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, all columns, whose doc_id is the smallest of its component; see jaccard_components.
+
+    Rows equal in doc_id and text are one document, and one of them stays. Rows without
+    doc_id stay: they can't be told apart. Empty texts are linked with nothing and stay.
+    """
+    found = jaccard_components(docs, width, percent)
+    counted = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__quern_doc")).agg(F.count("*").alias("rows"), F.max(F.coalesce(F.col("component_id") < F.col("doc_id"), F.lit(False))).alias("goes")))
+    # only ids are shuffled twice; a text is moved once, if at all
+    key = F.col("doc_id") == F.col("__quern_doc")
+    kept = docs.join(counted.where("goes").select("__quern_doc"), key, "left_anti")
+    again = counted.where("rows > 1").select("__quern_doc")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"]))
