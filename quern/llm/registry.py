@@ -73,11 +73,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op6_suffix_array_dedup, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op6_suffix_array_dedup, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, line_dedup
+    from . import licenses, line_dedup, plain_sql
 
-    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql()}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql(), "op3_benchmark_decontamination": plain_sql.CONTAMINATION, "op6_suffix_array_dedup": plain_sql.PASSAGES, "op9_ngram_jaccard_join": plain_sql.JACCARD}

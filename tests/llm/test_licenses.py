@@ -1,0 +1,62 @@
+import re
+
+import pandas as pd
+import pytest
+from compare import duck_rows, spark_rows
+
+from quern.llm import licenses as L
+
+BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TEXTS = [
+    None, "", "  ", "CC BY", "cc-by, CC.BY cc by by", "All rights, reserved. all RIGHTS reserved", "ccé by", "General\nPublic\tLicense general public licenses",
+    "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.",
+    "worK cc by", "x " * 5000 + "all rights reserved " + "y " * 5000, "cc " * 300 + "by", "İ cc by ÀB",
+    "Permission is hereby granted, free of charge, to any man obtaining a copy of this software and associated documentation files",
+    "Permission is hereby granted free of charge", "the mit license", "all rights reserve",
+]
+
+
+def _words(text):
+    return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def _base(text):
+    w, found = _words(text), []
+    for phrase, label in BASE.items():
+        p = phrase.split()
+        found += [(i, label) for i in range(len(w)) if w[i : i + len(p)] == p]
+    starts = [i for i, _ in found]
+    return len(w), len(found), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def _check(df, texts):
+    for r in df.collect():
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == _base(texts[r["doc_id"]]), r
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+        assert r["labels"] == ",".join(sorted(set(r["labels"].split(","))))
+
+
+def test_base_phrases_are_those_of_a_plain_search(spark):
+    df = L.license_scan(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string"))
+    _check(df, dict(enumerate(TEXTS)))
+    labels = {r["doc_id"]: r["labels"] for r in df.collect()}
+    assert labels[8] == "cc-by,cc-by-nc-4.0" and labels[9] == "gpl,gpl-3.0" and labels[10] == "apache-2.0" and labels[15] == "mit" and labels[16] == "" and labels[18] == ""
+
+
+def test_equals_its_sql(spark, tables):
+    frame = pd.DataFrame({"doc_id": range(len(TEXTS)), "text": TEXTS})
+    assert spark_rows(L.license_scan(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")).drop("places")) == duck_rows(L.sql(), frames={"documents": frame})
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    assert spark_rows(L.license_scan(docs).drop("places")) == duck_rows(L.sql(), tables)
+
+
+def test_whole_tables_against_a_plain_search(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    _check(L.license_scan(docs), {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()})
+
+
+@pytest.mark.parametrize("rows", [[], [(None, "cc by", "w"), (1, "cc by", "w"), (1, "cc by", None)]])
+def test_nulls_repeats_clashing_columns_and_no_rows(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, words string")
+    assert [(r["n_base"], r["score"]) for r in L.license_scan(df).collect()] == [(1, 1.0)] * len(rows)

@@ -1,0 +1,82 @@
+import random
+from collections import defaultdict
+
+import pytest
+
+from quern.llm import _text as T
+from quern.llm import suffix_dedup as S
+
+
+def brute(docs, least):
+    holders, texts = defaultdict(set), defaultdict(list)
+    for d, t in docs:
+        if d is not None:
+            h = T.word_hash(t or "", T.ALNUM)
+            texts[d].append(h)
+            for i in range(len(h) - least + 1):
+                holders[h[i : i + least].tobytes()].add(d)
+    out = set()
+    for d, hs in texts.items():
+        at = sorted({i for h in hs for i in range(len(h) - least + 1) if len(holders[h[i : i + least].tobytes()]) > 1})
+        now = None
+        for i in at:
+            if now and i <= now[1]:
+                now = (now[0], i + least)
+            else:
+                if now:
+                    out.add((d, *now))
+                now = (i, i + least)
+        if now:
+            out.add((d, *now))
+    return out
+
+
+def _made():
+    rnd = random.Random(5)
+    text = lambda n: [f"w{rnd.randrange(400)}" for _ in range(n)]
+    base, docs = [text(300) for _ in range(6)], []
+    for i in range(150):
+        w = text(rnd.randint(0, 150))
+        for _ in range(rnd.randint(0, 3)):
+            b, a = rnd.choice(base), rnd.randint(0, 250)
+            w = w + b[a : a + rnd.choice([49, 50, 51, 60, 80, 120])] + text(rnd.randint(0, 30))
+        if i % 10 == 0 and docs:
+            w = docs[rnd.randint(0, len(docs) - 1)][1].split()
+        if w and i % 7 == 0:
+            w[rnd.randint(0, len(w) - 1)] = f"edit{i}"
+        docs.append((i, " ".join(w)))
+    return [*docs, (None, docs[3][1]), (500, None), (501, ""), (502, "a b " * 200), (503, "a b " * 200), (504, "q " * 300), (7, docs[9][1])]
+
+
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_passages_are_those_of_a_plain_search(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "HOT_HEADS", 1 << 14 if hot > 3 else 10**9)
+    monkeypatch.setattr(S, "ROWS", 64)
+    docs = _made()
+    rows = S.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    want = brute(docs, 50)
+    assert {(r["doc_id"], r["start"], r["start"] + r["n_words"]) for r in rows} == want and len(rows) == len(want)
+    assert all(r["other_id"] != r["doc_id"] and r["other_id"] is not None for r in rows)
+
+
+def test_tables_against_a_plain_search(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    got = {(r["doc_id"], r["start"], r["start"] + r["n_words"]) for r in S.repeated_passages(docs).collect()}
+    assert got == brute([tuple(r) for r in docs.collect()], 50) and got
+
+
+def test_nothing_is_repeated_after_removal(spark):
+    docs = _made()
+    df = spark.createDataFrame([(a, b, "k") for a, b in docs], "doc_id long, text string, start string")
+    out = S.deduplicated(df)
+    assert out.columns == df.columns and out.count() == len(docs)
+    assert S.repeated_passages(out).count() == 0
+    # what is left of all documents still has every passage
+    left = {r["doc_id"]: r["text"] for r in out.where("doc_id = 500 or doc_id = 501").collect()}
+    assert left == {500: None, 501: ""}
+
+
+def test_no_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert S.repeated_passages(none).count() == 0 and S.deduplicated(none).count() == 0
