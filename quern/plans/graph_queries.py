@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
 from quern.operators.graph import bipartite_degrees, k_hop, transition_edges
+from quern.streaming.edges import windowed_edges
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,12 +41,21 @@ def customer_order_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k_hop(orders.union(lines), "s", "d", starts, 2)
 
 
+def daily_user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the streaming edge counts."""
+    events = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_edges(events, "ts", "user_id", "event_type", "1 day", "1 day").select(F.col("begin").cast("timestamp_ntz").alias("begin"), "src", "dst", "weight")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (event_transitions, supplier_part_degrees, nation_trade_components, customer_order_hops)}
+    return {f.__name__: f for f in (event_transitions, supplier_part_degrees, nation_trade_components, customer_order_hops, daily_user_events)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "daily_user_events": """
+            SELECT date_trunc('day', ts)::TIMESTAMP AS begin, user_id AS src, event_type AS dst, count(*) AS weight
+            FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL""",
         "event_transitions": """
             SELECT src, dst, count(*) AS weight FROM (
                 SELECT event_type AS src,
