@@ -44,7 +44,7 @@ def customer_order_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch form of the streaming edge counts."""
     events = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return windowed_edges(events, "ts", "user_id", "event_type", "1 day", "1 day").select(F.col("begin").cast("timestamp_ntz").alias("begin"), "src", "dst", "weight")
+    return windowed_edges(events, "ts", "user_id", "event_type", "1 day", "1 day").select(F.date_format("begin", "yyyy-MM-dd").alias("begin"), "src", "dst", "weight")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -54,7 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "daily_user_events": """
-            SELECT date_trunc('day', ts)::TIMESTAMP AS begin, user_id AS src, event_type AS dst, count(*) AS weight
+            SELECT strftime(ts, '%Y-%m-%d') AS begin, user_id AS src, event_type AS dst, count(*) AS weight
             FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL""",
         "event_transitions": """
             SELECT src, dst, count(*) AS weight FROM (
