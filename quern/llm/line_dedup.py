@@ -63,21 +63,23 @@ def _removals(docs: DataFrame) -> DataFrame:
     """`docs` with __quern_gone: the (begin, size) of the chunks that go, or null."""
     named = _named(docs)
     ids = ["__quern_id", "__quern_hash"]
-    same = lambda a, b: a["__quern_id"].eqNullSafe(b["__quern_id"]) & (a["__quern_hash"] == b["__quern_hash"])
+    # names of their own, as `docs` may have columns of any other name
+    renamed = lambda rows, *more: rows.select(F.col("__quern_id").alias("__quern_i"), F.col("__quern_hash").alias("__quern_h"), *more)
+    same = F.col("__quern_id").eqNullSafe(F.col("__quern_i")) & (F.col("__quern_hash") == F.col("__quern_h"))
     chunks = named.select(*ids, F.explode(_chunks(F.col("__quern_text"))).alias("c")).where("c.hash is not null").select(*ids, "c.no", "c.begin", "c.size", "c.hash")
     # pre-aggregated before the shuffle; a chunk in every document is one row a task
     often = chunks.groupBy("hash").agg(F.min(F.struct(*ids, "no")).alias("least"), F.max(F.struct(*ids, "no")).alias("most")).where("least <> most").select("hash")
-    lists = chunks.join(often, "hash", "left_semi").groupBy(*ids).agg(F.collect_set(F.struct("no", "begin", "size")).alias("again"))
-    lists = lists.select(F.col("__quern_id").alias("i"), F.col("__quern_hash").alias("h"), "again")
-    marked = named.join(lists, F.col("__quern_id").eqNullSafe(F.col("i")) & (F.col("__quern_hash") == F.col("h")), "left").drop("i", "h")
+    lists = chunks.join(often, "hash", "left_semi").groupBy(*ids).agg(F.collect_set(F.struct("no", "begin", "size")).alias("__quern_again"))
+    marked = named.join(renamed(lists, "__quern_again"), same, "left").drop("__quern_i", "__quern_h")
+    again = F.col("__quern_again")
     lines = F.split(F.col("__quern_text"), "\n")
-    bodies = marked.where("again is not null").select(*ids, F.explode(let(lines, lambda x: F.transform("again", lambda c: F.struct(c["no"].alias("no"), F.array_join(F.slice(x, c["begin"] + 1, c["size"]), "\n").alias("body"))))).alias("c"))
+    bodies = marked.where(again.isNotNull()).select(*ids, F.explode(let(lines, lambda x: F.transform(again, lambda c: F.struct(c["no"].alias("no"), F.array_join(F.slice(x, c["begin"] + 1, c["size"]), "\n").alias("body"))))).alias("c"))
     # bytes are compared here: a chunk goes only where the same body stands before it
     firsts = bodies.groupBy("c.body").agg(F.min(F.struct(*ids, F.col("c.no").alias("no"))).alias("first")).select("first.*")
-    stays = firsts.groupBy(*ids).agg(F.collect_set("no").alias("first")).select(F.col("__quern_id").alias("i"), F.col("__quern_hash").alias("h"), "first")
-    kept = marked.join(stays, F.col("__quern_id").eqNullSafe(F.col("i")) & (F.col("__quern_hash") == F.col("h")), "left").drop("i", "h")
-    gone = F.filter("again", lambda c: ~F.coalesce(F.array_contains(F.col("first"), c["no"]), F.lit(False)))
-    return kept.withColumn("__quern_gone", F.when(F.col("again").isNotNull(), gone)).drop("again", "first")
+    stays = firsts.groupBy(*ids).agg(F.collect_set("no").alias("__quern_first"))
+    kept = marked.join(renamed(stays, "__quern_first"), same, "left").drop("__quern_i", "__quern_h")
+    gone = F.filter(again, lambda c: ~F.coalesce(F.array_contains(F.col("__quern_first"), c["no"]), F.lit(False)))
+    return kept.withColumn("__quern_gone", F.when(again.isNotNull(), gone)).drop("__quern_again", "__quern_first")
 
 
 def _rest(lines: Column) -> Column:

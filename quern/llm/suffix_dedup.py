@@ -278,8 +278,8 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
 
 def deduplicated(docs: DataFrame, least: int = 50) -> DataFrame:
     """`docs`, all columns, whose text has lost the passages that a document of a smaller id has; see repeated_passages."""
-    gone = _joined(shared_passages(docs, least).where("not first").distinct()).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("__quern_gone"))
-    marked = docs.join(gone, F.col("doc_id") == F.col("doc"), "left").drop("doc")
+    gone = _joined(shared_passages(docs, least).where("not first").distinct()).groupBy(F.col("doc").alias("__quern_doc")).agg(F.collect_list(F.struct("start", "end")).alias("__quern_gone"))
+    marked = docs.join(gone, F.col("doc_id") == F.col("__quern_doc"), "left").drop("__quern_doc")
 
     def cut(batches):
         for batch in slices(batches, "text"):

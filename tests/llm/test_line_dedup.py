@@ -59,6 +59,8 @@ def test_nulls_repeated_rows_and_clashing_columns(spark):
     kept = L.without_repeated_lines(df)
     assert kept.columns == df.columns and kept.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     assert sorted((r["doc_id"], r["hash"]) for r in kept.collect() if r["hash"]) == [(None, "g")]
+    clash = df.selectExpr("*", "1 as i", "2 as h", "3 as c", "4 as again", "5 as first", "6 as no", "7 as body")
+    assert L.without_repeated_lines(clash).columns == clash.columns and L.without_repeated_lines(clash).count() == kept.count()
     assert L.line_dedup(df.limit(0)).count() == 0 and L.without_repeated_lines(df.limit(0)).count() == 0
 
 

@@ -68,7 +68,7 @@ def test_tables_against_a_plain_search(spark, tables):
 
 def test_nothing_is_repeated_after_removal(spark):
     docs = _made()
-    df = spark.createDataFrame([(a, b, "k") for a, b in docs], "doc_id long, text string, start string")
+    df = spark.createDataFrame([(a, b, "k", 1) for a, b in docs], "doc_id long, text string, start string, doc int")
     out = S.deduplicated(df)
     assert out.columns == df.columns and out.count() == len(docs)
     assert S.repeated_passages(out).count() == 0
