@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import slices
+from ._spark import slices, stored
 
 _U = np.uint64
 #: Words of a shard.
@@ -246,7 +246,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
                 )
 
         return read.mapInArrow(report, REPORT)
-    return _merged(read.withColumn("row", F.monotonically_increasing_id()), parts).drop("row")
+    # rows are numbered once, in a stored table: each block's pass has to find the same numbers
+    return _merged(stored(read.withColumn("row", F.monotonically_increasing_id())), parts).drop("row")
 
 
 def _merged(read: DataFrame, parts: list) -> DataFrame:
@@ -298,7 +299,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> D
 
         return docs.mapInArrow(keep, docs.schema)
     row = "__quern_row"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
     marked = _merged(numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("row")), parts)
     return numbered.join(marked.where("contaminated").select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
