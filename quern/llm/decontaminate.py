@@ -89,7 +89,6 @@ class Items:
         self.length = counts[item] - self.start
         self.window = np.minimum(window, counts[item])
         self.item = np.array([-1 if ids[k] is None else number[str(ids[k])] for k in range(len(ids))], np.int64)[item]
-        # the same window in many places is looked up once for each; only whole repeats of an item are left out
         self.depth = int(counts.max(initial=1))
 
     def _compare(self, s: SuffixArray, p: np.ndarray, q: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -126,28 +125,52 @@ class Items:
             act = act[out[act] < length[act]]
         return out
 
+    def agree(self, s: SuffixArray, p: np.ndarray, q: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How many codes from p and q are equal, up to `length`: never fewer than words."""
+        out, act = np.zeros(len(p), np.int64), np.flatnonzero(length > 0)
+        while len(act):
+            same = (s.packed[p[act] + out[act]] ^ self.packed[q[act] + out[act]]) & _KEEP[1] == 0
+            act = act[same]
+            out[act] += 1
+            act = act[out[act] < length[act]]
+        return out
+
     def longest(self, s: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
         """(length, place) of the longest match that each test suffix has in the shard."""
         at = self.bound(s, self.place, self.length, False)
-        best, where = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        best, where, coded = (np.zeros(len(at), np.int64) for _ in range(3))
         for side in (at - 1, at):
             ok = np.flatnonzero((side >= 0) & (side < s.total))
             p = s.sa[side[ok]]
             n = self.common(s, p, self.place[ok], self.length[ok])
+            coded[ok] = np.maximum(coded[ok], self.agree(s, p, self.place[ok], self.length[ok]))
             better = n > best[ok]
             best[ok[better]], where[ok[better]] = n[better], p[better]
+        # another word of the same code stands beside these: look through all suffixes of the codes in question
+        for i in np.flatnonzero(coded > best).tolist():
+            one = self.place[i : i + 1]
+            for n in range(int(coded[i]), int(best[i]), -1):
+                length = np.array([n])
+                p = s.sa[int(self.bound(s, one, length, False)[0]) : int(self.bound(s, one, length, True)[0])]
+                whole = np.flatnonzero(self.common(s, p, np.full(len(p), one[0]), np.full(len(p), n)) >= n)
+                if len(whole):
+                    best[i], where[i] = n, p[whole[0]]
+                    break
         return best, where
 
-    def occurrences(self, s: SuffixArray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def occurrences(self, s: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
         """(place, query) of every occurrence of every test window."""
-        hit = np.flatnonzero((self.length >= self.window) & (best >= self.window))
-        lo = self.bound(s, self.place[hit], self.window[hit], False)
-        hi = self.bound(s, self.place[hit], self.window[hit], True)
-        n = hi - lo
+        whole = np.flatnonzero(self.length >= self.window)
+        lo = self.bound(s, self.place[whole], self.window[whole], False)
+        at = s.sa[np.minimum(lo, s.total - 1)]
+        there = (lo < s.total) & (self._compare(s, at, self.place[whole], self.window[whole]) == 0)
+        hit, lo = whole[there], lo[there]
+        n = self.bound(s, self.place[hit], self.window[hit], True) - lo
         query = np.repeat(hit, n)
         place = s.sa[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if len(n) else np.zeros(0, np.int64)
-        whole = self.common(s, place, self.place[query], self.window[query]) >= self.window[query]
-        return place[whole], query[whole]
+        # suffixes equal by code are compared by hash
+        same = self.common(s, place, self.place[query], self.window[query]) >= self.window[query]
+        return place[same], query[same]
 
 
 def _shards(hashes: np.ndarray, at: np.ndarray, depth: int, overlap: int) -> Iterator[tuple[int, SuffixArray, np.ndarray]]:
@@ -168,8 +191,7 @@ def _marks(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     rows, n_items = len(at) - 1, max(1, len(items.ids))
     if len(items.place):
         for _, s, back in _shards(hashes, at, items.depth, int(items.window.max()) - 1):
-            best, _ = items.longest(s)
-            place, query = items.occurrences(s, best)
+            place, query = items.occurrences(s)
             word = back[place]
             edge += np.bincount(word, minlength=len(edge)) - np.bincount(word + items.window[query], minlength=len(edge))
             named = items.item[query] >= 0

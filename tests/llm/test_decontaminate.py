@@ -71,6 +71,21 @@ def test_tables_against_a_plain_search(spark, small_tables):
     assert _rows(D.contamination(docs, items)) == want and any(w[5] for w in want)
 
 
+@pytest.mark.parametrize("bits", [16, 3])
+def test_words_of_one_code_hide_no_match(spark, monkeypatch, bits):
+    monkeypatch.setattr(D, "_codes", lambda h: np.maximum(h >> np.uint64(64 - bits), np.uint64(1)))
+    docs, items = _made(6)
+    it = D.Items([None if a is None else str(a) for a, _ in items], [t for _, t in items], 13)
+    h, at = T.words(*T.utf8(pa.array([t for _, t in docs], pa.string())), T.ALNUM)
+    hit, found = D._marks(it, h, at)
+    got = sorted(((d, int(n), int(k), len(f)) for (d, _), n, k, f in zip(docs, np.diff(at), D._per_row(hit, at), found, strict=True)), key=repr)
+    assert got == sorted((w[:4] for w in brute(docs, items)), key=repr)
+    for _, s, _ in D._shards(h[:3000], at[at <= 3000], it.depth, 0):
+        best, where = it.longest(s)
+        plain = [max(next((k for k in range(int(n)) if s.at[p + k] != it.at[q + k]), int(n)) for p in range(s.total)) for q, n in zip(it.place, it.length, strict=True)]
+        assert best.tolist() == plain and (it.common(s, where, it.place, it.length) >= best).all()
+
+
 def test_no_items_or_no_documents(spark):
     d, b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert _rows(D.contamination(d, b)) == brute([(1, "a b c")], [])
