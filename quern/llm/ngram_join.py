@@ -38,7 +38,7 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 #: Parity bits of a set, at least; a large one has about as many as tokens.
 BITS = 1024
 #: At most so many tokens are classed as frequent; by counting, none of them stands in fewer than one in so many of all sets' tokens.
-FREQUENT = 1 << 22
+FREQUENT = 1 << 23
 #: Sets of at most this size index pairs of frequent tokens.
 SMALL = 160
 #: Bits of the filter for classes whose sets are needed.
@@ -300,13 +300,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     by_key = Window.partitionBy("key")
     # `rank` is a set's number of rare tokens, then its size: the first member of a bucket is the one that differs least from what many share
     size = lambda x: F.col(x).bitwiseAND(0xFFFFFFFF)
-    buckets = stored(
+    member = F.xxhash64("cid")
+    of_key = (
         index.withColumn("first", F.min(F.struct("rank", "cid")).over(by_key))
         .withColumn("high", F.max("cid").over(by_key))
         .withColumn("least", F.min("cid").over(by_key))
+        .withColumn("set", F.xxhash64(F.bit_xor(member).over(by_key), F.sum(member.bitwiseAND(0xFFFFFFFF)).over(by_key), F.sum(F.shiftrightunsigned(member, 32)).over(by_key), F.count("*").over(by_key)))
         .where("high <> least")
-        .select("key", "cid", size("rank").alias("n"), F.col("first.cid").alias("pivot"), size("first.rank").alias("pivot_n"))
+        .select(F.col("set").alias("key"), "cid", size("rank").alias("n"), F.col("first.cid").alias("pivot"), size("first.rank").alias("pivot_n"))
     )
+    # keys with the same members are one bucket: near copies share hundreds of keys, but few sets of members
+    buckets = stored(of_key.dropDuplicates(["key", "cid"]))
     classes = members.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("parity").alias("parity"))
 
     def screened(pairs: DataFrame) -> DataFrame:
