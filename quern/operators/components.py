@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoints import ready
+
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 50) -> DataFrame:
     """(node, component) for each end of an edge; component is the smallest node that edges reach.
@@ -16,6 +18,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     their nodes. Each round is cut from its lineage by checkpoint(); the session's
     checkpoint folder has to be shared by all executors.
     """
+    ready(edges.sparkSession)
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     nodes = ends.select(F.explode(F.array("u", "v")).alias("node")).where("node is not null").distinct()
     now = ends.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checkpoints import ready
+
 
 def transition_edges(events: DataFrame, actor: str, state: str, order: list[str | Column]) -> DataFrame:
     """(src, dst, weight): how often an actor's `state` is followed by which next one.
@@ -35,6 +37,7 @@ def k_hop(edges: DataFrame, src: str, dst: str, starts: DataFrame, hops: int) ->
     starts: one column of nodes. Each hop is one join of the frontier with the edges
     and one anti-join with what was reached before; the frontier is checkpointed.
     """
+    ready(edges.sparkSession)
     step = edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).dropna().distinct()
     first = starts.select(F.col(starts.columns[0]).alias("start")).dropna().distinct()
     reached = first.select("start", F.col("start").alias("node"), F.lit(0).alias("depth"))

@@ -32,3 +32,13 @@ def test_entry_stands_without_the_optional_part(tmp_path):
     shutil.copytree(ROOT / "quern", tmp_path / "quern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) == set(e.queries()); assert not any(x.startswith('op') for x in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_graph_queries_run_without_a_checkpoint_folder(small_tables):
+    code = f"""
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()
+import __spark_entry__ as e
+assert e.queries()['nation_trade_components'](spark, {small_tables!r}).count() and e.queries()['customer_order_hops'](spark, {small_tables!r}).count()
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=300, capture_output=True)
