@@ -26,6 +26,12 @@ FILTERS = 8
 AT_ONCE = 512
 #: The sample that the network is trained on: documents of each language, and windows of each.
 FIT_PER_LANGUAGE, FIT_WINDOWS = 400, 4
+#: Documents of all languages together in the sample, at most.
+FIT_TOTAL = 20_000
+#: Steps of a fit, at least.
+LEAST_STEPS = 400
+#: Parts that a language's documents are ranked in.
+PARTS = 64
 
 
 def _letters() -> np.ndarray:
@@ -65,6 +71,8 @@ class Net:
         params = [*self.tables, self.bias, self.out, self.out_bias]
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
+        # few windows are gone over more often
+        epochs = max(epochs, -(-LEAST_STEPS // -(-n // batch)))
         for epoch in range(epochs):
             order = rng.permutation(n)
             for a in range(0, n, batch):
@@ -121,8 +129,10 @@ class Scorer:
         rows = len(offsets) - 1
         size = np.diff(offsets)
         langs = self.net.langs
-        sums = np.concatenate(([0], np.cumsum(_ASCII_LETTER[data])))
-        lettered = sums[offsets[1:]] > sums[offsets[:-1]]
+        full = np.flatnonzero(size)
+        lettered = np.zeros(rows, bool)
+        if len(full):
+            lettered[full] = np.logical_or.reduceat(_ASCII_LETTER[data], offsets[full])
         for i in np.flatnonzero(~lettered & (size > 0)):
             lettered[i] = any(c.isalpha() for c in bytes(data[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace"))
         if not langs:
@@ -152,11 +162,14 @@ def held_out(fold: int, parts: int) -> Column:
 
 
 def trained(docs: DataFrame, fold: int = 2, parts: int = 4, per_language: int = FIT_PER_LANGUAGE) -> Net:
-    """A network fitted to at most `per_language` documents of each language, FIT_WINDOWS windows of each: those of the smallest hashes of doc_id, without the held-out fold."""
+    """A network fitted to at most `per_language` documents of each language, FIT_WINDOWS windows of each, and to FIT_TOTAL documents in all: those of the smallest hashes of doc_id, without the held-out fold."""
     known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(~held_out(fold, parts))
-    ranked = known.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-    # as many rows as there are languages times per_language
-    chosen = ranked.where(F.col("rank") <= per_language).select("doc_id", "lang")
+    # a language may have most of the rows: ranked in parts first, then among what is left
+    ranked = known.distinct().withColumn("hash", F.xxhash64("doc_id"))
+    for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("hash", "doc_id"))).where(F.col("rank") <= per_language)
+    # each language's first, then each one's second, and so on: few of each where there are very many languages
+    chosen = ranked.orderBy("rank", "hash", "doc_id").limit(FIT_TOTAL).select("doc_id", "lang")
     span = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
     places = F.transform(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1)), lambda k: F.floor(k * span / max(1, FIT_WINDOWS - 1)).cast("int"))
     raw = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).where("octet_length(text) > 0").join(F.broadcast(chosen), ["doc_id", "lang"])
