@@ -38,7 +38,7 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 #: Parity bits of a set, at least; a large one has about as many as tokens.
 BITS = 1024
 #: At most so many tokens are classed as frequent; by counting, none of them stands in fewer than one in so many of all sets' tokens.
-FREQUENT = 1 << 23
+FREQUENT = 1 << 24
 #: Sets of at most this size index pairs of frequent tokens.
 SMALL = 160
 #: Bits of the filter for classes whose sets are needed.
