@@ -53,31 +53,38 @@ def _chunks(text: Column) -> Column:
     return let(F.split(text, "\n"), lambda lines: let(_ends(lines), lambda ends: of(lines, ends)))
 
 
+def _whole() -> Column:
+    """The text, empty for null. An expression, so that no second copy of the text is shuffled."""
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
 def _named(docs: DataFrame) -> DataFrame:
-    """`docs` with the columns that this module adds: the id, the whole text without null, and a hash of it."""
-    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("__quern_id", F.col("doc_id").cast("long")).withColumn("__quern_text", whole).withColumn("__quern_hash", _digest(F.col("__quern_text"), 15))
+    """`docs` with a name for each document, the same for rows equal in doc_id and text; it is never null, so it joins as it is."""
+    name = F.md5(F.concat_ws(":", F.col("doc_id").cast("long"), F.md5(_whole().cast("binary"))).cast("binary"))
+    return docs.withColumn("__quern_name", F.coalesce(name, F.lit("")))
 
 
 def _removals(docs: DataFrame) -> DataFrame:
     """`docs` with __quern_gone: the (begin, size) of the chunks that go, or null."""
     named = _named(docs)
-    ids = ["__quern_id", "__quern_hash"]
     # names of their own, as `docs` may have columns of any other name
-    renamed = lambda rows, *more: rows.select(F.col("__quern_id").alias("__quern_i"), F.col("__quern_hash").alias("__quern_h"), *more)
-    same = F.col("__quern_id").eqNullSafe(F.col("__quern_i")) & (F.col("__quern_hash") == F.col("__quern_h"))
-    chunks = named.select(*ids, F.explode(_chunks(F.col("__quern_text"))).alias("c")).where("c.hash is not null").select(*ids, "c.no", "c.begin", "c.size", "c.hash")
+    of = F.struct(F.col("doc_id").cast("long").alias("id"), F.col("__quern_name").alias("name"))
+    chunks = named.select(of.alias("of"), F.explode(_chunks(_whole())).alias("c")).where("c.hash is not null").select("of", "c.no", "c.begin", "c.size", "c.hash")
     # pre-aggregated before the shuffle; a chunk in every document is one row a task
-    often = chunks.groupBy("hash").agg(F.min(F.struct(*ids, "no")).alias("least"), F.max(F.struct(*ids, "no")).alias("most")).where("least <> most").select("hash")
-    lists = chunks.join(often, "hash", "left_semi").groupBy(*ids).agg(F.collect_set(F.struct("no", "begin", "size")).alias("__quern_again"))
-    marked = named.join(renamed(lists, "__quern_again"), same, "left").drop("__quern_i", "__quern_h")
+    often = chunks.groupBy("hash").agg(F.min(F.struct("of", "no")).alias("least"), F.max(F.struct("of", "no")).alias("most")).where("least <> most").select("hash")
+    lists = chunks.join(often, "hash", "left_semi").groupBy(F.col("of.name").alias("__quern_key")).agg(F.collect_set(F.struct("no", "begin", "size")).alias("__quern_again"))
+    marked = named.join(lists, F.col("__quern_name") == F.col("__quern_key"), "left").drop("__quern_key")
     again = F.col("__quern_again")
-    lines = F.split(F.col("__quern_text"), "\n")
-    bodies = marked.where(again.isNotNull()).select(*ids, F.explode(let(lines, lambda x: F.transform(again, lambda c: F.struct(c["no"].alias("no"), F.array_join(F.slice(x, c["begin"] + 1, c["size"]), "\n").alias("body"))))).alias("c"))
+    bodies = marked.where(again.isNotNull()).select(
+        of.alias("of"),
+        # of all columns: so that this step reads the same shuffle of the documents as the last one, and their texts are moved once
+        F.xxhash64(*docs.columns).alias("row"),
+        F.explode(let(F.split(_whole(), "\n"), lambda x: F.transform(again, lambda c: F.struct(c["no"].alias("no"), F.array_join(F.slice(x, c["begin"] + 1, c["size"]), "\n").alias("body"))))).alias("c"),
+    )
     # bytes are compared here: a chunk goes only where the same body stands before it
-    firsts = bodies.groupBy("c.body").agg(F.min(F.struct(*ids, F.col("c.no").alias("no"))).alias("first")).select("first.*")
-    stays = firsts.groupBy(*ids).agg(F.collect_set("no").alias("__quern_first"))
-    kept = marked.join(renamed(stays, "__quern_first"), same, "left").drop("__quern_i", "__quern_h")
+    firsts = bodies.groupBy("c.body").agg(F.min(F.struct("of", F.col("c.no").alias("no"))).alias("first"), F.max("row").alias("row")).where("row is not null")
+    stays = firsts.groupBy(F.col("first.of.name").alias("__quern_key")).agg(F.collect_set("first.no").alias("__quern_first"))
+    kept = marked.join(stays, F.col("__quern_name") == F.col("__quern_key"), "left").drop("__quern_key")
     gone = F.filter(again, lambda c: ~F.coalesce(F.array_contains(F.col("__quern_first"), c["no"]), F.lit(False)))
     return kept.withColumn("__quern_gone", F.when(again.isNotNull(), gone)).drop("__quern_again", "__quern_first")
 
@@ -97,13 +104,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     as an empty text. Texts of one line lose nothing; an empty table gives no rows.
     """
     removed = F.coalesce(F.aggregate("__quern_gone", F.lit(0), lambda a, c: a + c["size"]), F.lit(0))
-    text = F.when(F.size("__quern_gone") > 0, F.array_join(_rest(F.split(F.col("__quern_text"), "\n")), "\n")).otherwise(F.col("__quern_text"))
-    return _removals(docs.select("doc_id", "text")).select(F.col("__quern_id").alias("doc_id"), F.size(F.split(F.col("__quern_text"), "\n")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"))
+    text = F.when(F.size("__quern_gone") > 0, F.array_join(_rest(F.split(_whole(), "\n")), "\n")).otherwise(_whole())
+    return _removals(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(_whole(), "\n")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """`docs`, all columns, with `text` (and n_chars, where there is one) as `line_dedup` leaves it; documents that lose all their lines go."""
-    lines = F.split(F.col("__quern_text"), "\n")
+    lines = F.split(_whole(), "\n")
     left = _removals(docs).where(F.coalesce(F.aggregate("__quern_gone", F.lit(0), lambda a, c: a + c["size"]), F.lit(0)) < F.size(lines))
     text = F.when(F.size("__quern_gone") > 0, F.array_join(_rest(lines), "\n")).otherwise(F.col("text"))
     changed = left.withColumn("text", text)
