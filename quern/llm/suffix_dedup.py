@@ -102,8 +102,8 @@ def _census(least: int):
     return f
 
 
-#: done: what is known without others; the other columns are of suffixes that have to be compared.
-_SUFFIX = "done boolean, head long, doc long, start long, end long, other long, near long, far long, place long, right binary, left binary"
+#: done: a passage that one of a smaller id, `other`, in its slice has, with all that can matter (`key`); the other columns are of suffixes that have to be compared.
+_SUFFIX = "done boolean, key long, head long, doc long, start long, end long, other long, near long, far long, place long, right binary, left binary"
 
 
 def _suffixes(least: int, wanted, hot):
@@ -126,6 +126,7 @@ def _suffixes(least: int, wanted, hot):
             order = np.lexsort((place, doc, key))
             key, d = key[order], doc[order]
             new = np.concatenate(([True], key[1:] != key[:-1]))
+            key = key.view(np.int64)
             group = np.cumsum(new) - 1
             start = np.flatnonzero(new)
             low, high = d[start][group], d[np.append(start[1:], len(d)) - 1][group]
@@ -136,13 +137,13 @@ def _suffixes(least: int, wanted, hot):
             none = pa.nulls(n, pa.int64())
             if n:
                 b = at[row[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), none, pa.array(doc[i]), pa.array(first[i] - b), pa.array(last[i] - b + least), pa.array(low[again]), none, none, none, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _SUFFIX.split(", ")])
-            i, twin = order[~again], np.where(high != low, high, -1)[~again]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(key[again]), none, pa.array(doc[i]), pa.array(first[i] - b), pa.array(last[i] - b + least), pa.array(low[again]), none, none, none, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _SUFFIX.split(", ")])
+            i, twin, alone = order[~again], np.where(high != low, high, -1)[~again], (high == low)[~again]
             n = len(i)
             b = at[row[i]]
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, bool)), pa.array(head[i]), pa.array(doc[i]), none, none, pa.array(twin, mask=(high == low)[~again]), pa.array(place[i] - last[i]), pa.array(place[i] - first[i]), pa.array(place[i] - b), pa.array([x.tobytes() for x in right[i]], pa.binary()), pa.array([x.tobytes() for x in left[i]], pa.binary())],
+                [pa.array(np.zeros(n, bool)), pa.array(key[~again], mask=alone), pa.array(head[i]), pa.array(doc[i]), none, none, pa.array(twin, mask=alone), pa.array(place[i] - last[i]), pa.array(place[i] - first[i]), pa.array(place[i] - b), pa.array([x.tobytes() for x in right[i]], pa.binary()), pa.array([x.tobytes() for x in left[i]], pa.binary())],
                 names=[x.split()[0] for x in _SUFFIX.split(", ")],
             )
 
@@ -157,14 +158,15 @@ def _runs_of(codes: np.ndarray) -> np.ndarray:
     return _text.mix(out)
 
 
-_SPAN = "doc long, start long, end long, other long, first boolean"
+#: key: of suffixes that stand for others of their slice.
+_SPAN = "key long, doc long, start long, end long, other long, first boolean"
 
 
 def _compared(least: int):
     """From suffixes in the order of head and right words: the passages that each shares with another document's."""
     reach = least - HEAD
 
-    def compare(head, doc, twin, near, far, place, right, left):
+    def compare(key, head, doc, twin, near, far, place, right, left):
         n = len(head)
         same = np.concatenate(([0], (right[1:] == right[:-1]).cumprod(axis=1).sum(axis=1) * (head[1:] == head[:-1])))
         to_left = np.zeros((n, reach + 1), _U)
@@ -185,13 +187,17 @@ def _compared(least: int):
             least_doc, most_doc = np.minimum.reduceat(doc[r], new), np.maximum.reduceat(np.maximum(doc[r], twin[r]), new)
             low[r, l], high[r, l] = np.repeat(least_doc, size), np.repeat(most_doc, size)
             matched[r, l] = np.repeat(least_doc != most_doc, size)
-        edge = np.diff(np.concatenate([np.zeros((n, 1), np.int8), matched.astype(np.int8), np.zeros((n, 1), np.int8)], axis=1), axis=1)
-        row, a = np.nonzero(edge == 1)
-        _, b = np.nonzero(edge == -1)
-        # of stretches in a run, the smallest document that has any; the run is first where no other is smaller
-        smallest = np.minimum.reduceat(np.append(low.ravel(), 0), np.stack([row * (reach + 1) + a, row * (reach + 1) + b], axis=1).ravel())[::2] if len(row) else np.zeros(0, np.int64)
-        first = smallest == doc[row]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(place[row] - (b - 1)), pa.array(place[row] - a + least), pa.array(np.where(first, high[row, a], smallest)), pa.array(first)], names=["doc", "start", "end", "other", "first"])
+        # runs of stretches that no smaller document has, and of those that one has: what holds for one need not hold for its neighbour
+        state = np.where(matched, np.where(low == doc[:, None], 2, 1), 0)
+        change = np.diff(state, axis=1, prepend=0, append=0) != 0
+        row, a = np.nonzero(change[:, :-1] & (state > 0))
+        _, b = np.nonzero(change[:, 1:] & (state > 0))
+        b += 1
+        first = state[row, a] == 2
+        other = np.where(state == 2, high, low).ravel()
+        # of the stretches of a run, the smallest document that each names
+        smallest = np.minimum.reduceat(np.append(other, 0), np.stack([row * (reach + 1) + a, row * (reach + 1) + b], axis=1).ravel())[::2] if len(row) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([key.take(pa.array(row)), pa.array(doc[row]), pa.array(place[row] - (b - 1)), pa.array(place[row] - a + least), pa.array(smallest), pa.array(first)], names=["key", "doc", "start", "end", "other", "first"])
 
     def f(batches):
         held: list[pa.RecordBatch] = []
@@ -199,7 +205,7 @@ def _compared(least: int):
         def ready(table: pa.Table) -> pa.RecordBatch:
             col = lambda x: table.column(x).to_numpy().astype(np.int64)
             codes = lambda x, k: np.frombuffer(b"".join(table.column(x).to_pylist()), ">u4").astype(np.uint32).reshape(-1, k)
-            return compare(col("head"), col("doc"), table.column("other").fill_null(-(1 << 62)).to_numpy().astype(np.int64), col("near"), col("far"), col("place"), codes("right", least), codes("left", reach))
+            return compare(table.column("key").combine_chunks(), col("head"), col("doc"), table.column("other").fill_null(-(1 << 62)).to_numpy().astype(np.int64), col("near"), col("far"), col("place"), codes("right", least), codes("left", reach))
 
         for batch in batches:
             if not batch.num_rows:
@@ -243,9 +249,13 @@ def shared_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     wanted = spark.sparkContext.broadcast(_bloom.build(heads, "head", FILTER_BITS))
     # bytes of both sides are stored once, as two steps read them
     rows = stored(read.mapInArrow(_suffixes(least, wanted, hot), _SUFFIX))
-    done = rows.where("done").select("doc", "start", "end", "other", F.lit(False).alias("first"))
-    compared = rows.where("not done").select("head", "doc", "other", "near", "far", "place", "right", "left").repartition("head").sortWithinPartitions("head", "right").mapInArrow(_compared(least), _SPAN)
-    spans = done.unionByName(compared)
+    compared = rows.where("not done").select("key", "head", "doc", "other", "near", "far", "place", "right", "left").repartition("head").sortWithinPartitions("head", "right").mapInArrow(_compared(least), _SPAN)
+    # read twice
+    compared = stored(compared)
+    # the smallest document of a slice is not that of all: what it was found to share, its copies in the slice share as well
+    least_of = compared.where("key is not null").groupBy(F.col("key"), F.col("doc").alias("other")).agg(F.min(F.when(F.col("first"), F.col("doc")).otherwise(F.col("other"))).alias("low"))
+    done = rows.where("done").select("key", "doc", "start", "end", "other").join(least_of.hint("merge"), ["key", "other"], "left").select("doc", "start", "end", F.coalesce("low", "other").alias("other"), F.lit(False).alias("first"))
+    spans = done.unionByName(compared.drop("key"))
     if hot_heads:
         stretches = read.mapInArrow(_hot_stretches(least, hot), "stretch long, doc long, start long")
         ends = stretches.groupBy("stretch").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")

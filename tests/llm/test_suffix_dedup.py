@@ -80,3 +80,68 @@ def test_nothing_is_repeated_after_removal(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert S.repeated_passages(none).count() == 0 and S.deduplicated(none).count() == 0
+
+
+def per_stretch(docs, least):
+    """What each stretch says by itself, joined to passages; and the words that lie in no stretch of a smaller document."""
+    at, holders, words = defaultdict(dict), defaultdict(set), {}
+    for d, t in docs:
+        words[d] = t.split()
+        h = T.word_hash(t, T.ALNUM)
+        for i in range(len(h) - least + 1):
+            at[d][i] = h[i : i + least].tobytes()
+            holders[at[d][i]].add(d)
+    passages, left = set(), {}
+    for d, w in words.items():
+        gone, now = set(), None
+        for i, x in sorted(at[d].items()):
+            low, high = min(holders[x]), max(holders[x])
+            if low == high:
+                continue
+            first = d == low
+            if not first:
+                gone.update(range(i, i + least))
+            one = (i, i + least, high if first else low, first)
+            if now and i <= now[1]:
+                now = (now[0], i + least, min(now[2], one[2]), now[3] and first)
+            else:
+                passages |= {(d, *now)} if now else set()
+                now = one
+        passages |= {(d, *now)} if now else set()
+        left[d] = [x for i, x in enumerate(w) if i not in gone]
+    return passages, left
+
+
+def _overlaps():
+    rnd, docs = random.Random(9), []
+    for k in range(25):
+        w = [f"t{k}x{i}" for i in range(140)]
+        cuts = {0: [(0, 100), (0, 60), (11, 70)], 1: [(0, 60), (0, 100), (11, 100)]}.get(k, [])
+        cuts += [(a, a + rnd.randint(50, 90)) for a in (rnd.randint(0, 50) for _ in range(rnd.randint(2, 6)))]
+        docs += [w[a:b] for a, b in cuts]
+        docs += [docs[-1], docs[-1]]
+    rnd.shuffle(docs)
+    return [(i, " ".join(w)) for i, w in enumerate(docs)]
+
+
+@pytest.mark.parametrize("hot", [200_000, 3])
+def test_each_stretch_is_judged_by_itself(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "HOT_HEADS", 1 << 14 if hot > 3 else 10**9)
+    w = [f"v{i}" for i in range(100)]
+    groups = [[(3, w[:70]), (5, w[:60]), (9, w[11:70])], [(3, w[:60]), (5, w), (9, w[11:])]]
+    for docs in [*([(d, " ".join(x)) for d, x in g] for g in groups), _overlaps()]:
+        passages, left = per_stretch(docs, 50)
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert {(r["doc_id"], r["start"], r["start"] + r["n_words"], r["other_id"], r["first"]) for r in S.repeated_passages(df).collect()} == passages
+        got = {r["doc_id"]: r["text"].split() for r in S.deduplicated(df).collect()}
+        assert got == left
+        # nothing is lost from all documents
+        assert {x for t in got.values() for x in t} == {x for _, t in docs for x in t.split()}
+
+
+def test_copies_of_one_task_name_the_smallest_document_of_all(spark):
+    text = " ".join(f"c{i}" for i in range(80))
+    docs = [(2, text), (100, "a"), (101, "b"), (5, text), (7, text), (8, text)]
+    rows = S.repeated_passages(spark.createDataFrame(spark.sparkContext.parallelize(docs, 2), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"], r["first"]) for r in rows} == {(2, 8, True), (5, 2, False), (7, 2, False), (8, 2, False)}
