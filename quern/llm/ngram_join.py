@@ -287,6 +287,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     doc_id keeps its row; it can link others but never names a component, unless the
     component has nothing else: then component_id is null. An empty table gives none.
     """
+    return _components(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same with cid, the id of the row's set, and component, the least one that links reach; both tell nothing of rows without shingles."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     survey = stored(docs.mapInArrow(_survey(width, FREQUENT), "doc_id long, cid long, n long, parity array<long>, token long, hits long"))
@@ -345,22 +350,44 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     # a class takes the smallest doc_id of its own rows; a component that of its classes
     own = members.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = own.join(least, "component").select("cid", "component_id")
-    return members.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = own.join(least, "component").select("cid", "component", "component_id")
+    return members.join(named, "cid", "left").select("cid", "component", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _with_sets(width: int):
+    """The rows with the ids of their sets."""
+
+    def f(batches):
+        for batch, _, _, ids in _sets_of(batches, width):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids.view(np.int64))], names=[*batch.schema.names, "__quern_cid"])
+
+    return f
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs`, all columns, whose doc_id is the smallest of its component; see jaccard_components.
+    """The rows of `docs`, all columns, that are the first of their component; see jaccard_components.
 
-    Rows equal in doc_id and text are one document, and one of them stays. Rows without
-    doc_id stay: they can't be told apart. Empty texts are linked with nothing and stay.
+    That is the one of the smallest doc_id. Where rows of one doc_id have different
+    texts, each is judged by its own: of those linked with each other one stays, and
+    one that is linked with none stays whatever goes. Rows equal in doc_id and text
+    are one document, and one of them stays. Rows without doc_id stay: they can't be
+    told apart. Empty texts are linked with nothing and stay.
     """
-    found = jaccard_components(docs, width, percent)
-    counted = stored(found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__quern_doc")).agg(F.count("*").alias("rows"), F.max(F.coalesce(F.col("component_id") < F.col("doc_id"), F.lit(False))).alias("goes")))
+    found = stored(_components(docs, width, percent).where("doc_id is not null"))
+    goes = F.coalesce(F.col("component_id") < F.col("doc_id"), F.lit(False))
+    counted = stored(found.groupBy(F.col("doc_id").alias("__quern_doc")).agg(F.count("*").alias("rows"), F.max(goes).alias("goes")))
     # only ids are shuffled twice; a text is moved once, if at all
     key = F.col("doc_id") == F.col("__quern_doc")
-    kept = docs.join(counted.where("goes").select("__quern_doc"), key, "left_anti")
     again = counted.where("rows > 1").select("__quern_doc")
     if again.isEmpty():
-        return kept
-    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return docs.join(counted.where("goes").select("__quern_doc"), key, "left_anti")
+    alone = docs.join(counted.where("goes or rows > 1").select("__quern_doc"), key, "left_anti")
+    # of the sets that a doc_id has in its component, the least; of rows with that set, and of empty texts, the least by hash and bytes
+    sets = found.where(~goes & (F.col("n_shingles") > 0)).groupBy("doc_id", "component").agg(F.min("cid").alias("__quern_set")).select(F.col("doc_id").alias("__quern_doc"), "__quern_set")
+    text = F.col("text").cast("string")
+    read = docs.join(again, key, "left_semi").withColumn("__quern_row", F.struct(*docs.columns)).select(F.col("doc_id").cast("long").alias("__quern_doc"), text.alias("text"), "__quern_row")
+    rows = read.mapInArrow(_with_sets(width), read.withColumn("__quern_cid", F.lit(0).cast("long")).schema)
+    empty = F.col("__quern_cid") == 0
+    kept = rows.where(empty).unionByName(rows.where(~empty).join(sets.withColumnRenamed("__quern_set", "__quern_cid"), ["__quern_doc", "__quern_cid"], "left_semi").select(*rows.columns))
+    one = kept.groupBy("__quern_doc", "__quern_cid", F.when(empty, F.col("text")).alias("__quern_text")).agg(F.min_by("__quern_row", F.struct(F.xxhash64("text"), "text")).alias("__quern_row"))
+    return alone.unionByName(one.select("__quern_row.*"))

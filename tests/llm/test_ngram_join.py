@@ -106,6 +106,20 @@ def test_nulls_short_texts_repeats_clashing_columns_and_no_rows(spark):
     assert N.one_of_each(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    words = lambda k, n=60: [f"{k}{i}" for i in range(n)]
+    a, b, c = words("a"), words("b"), words("c")
+    docs = [(3, " ".join(a)), (5, " ".join([*a[:-1], "x"])), (5, " ".join(b)), (7, " ".join(c)), (7, " ".join([*c[:-1], "y"])), (7, " ".join(c).upper()), (7, " ".join([*b, "z"])), (7, ""), (7, None), (7, None), (9, "own words of nine alone"), (9, " ".join([*c, "w"]))]
+    df = spark.createDataFrame([(d, t, [d], "k") for d, t in docs], "doc_id int, text string, list array<int>, cid string").repartition(3)
+    kept = N.one_of_each(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert set(got) < set(docs) and len(got) == len(set(got))
+    of = lambda k: sorted((d for d, t in got if t and t.lower().startswith(k)))
+    assert (of("a"), of("b"), of("c"), of("own")) == ([3], [5], [7], [9])
+    assert {x for x in got if not x[1]} == {(7, ""), (7, None)} and len(got) == 6
+
+
 def test_tables_against_all_pairs(spark, small_tables):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text")
     assert _rows(N.jaccard_components(docs)) == brute([tuple(r) for r in docs.collect()])
