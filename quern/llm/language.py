@@ -163,7 +163,8 @@ def held_out(fold: int, parts: int) -> Column:
 
 def trained(docs: DataFrame, fold: int = 2, parts: int = 4, per_language: int = FIT_PER_LANGUAGE) -> Net:
     """A network fitted to at most `per_language` documents of each language, FIT_WINDOWS windows of each, and to FIT_TOTAL documents in all: those of the smallest hashes of doc_id, without the held-out fold."""
-    known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(~held_out(fold, parts))
+    # empty texts teach nothing, so they take no place in the sample
+    known = docs.where("octet_length(text) > 0").select("doc_id", "lang").where("lang is not null and doc_id is not null").where(~held_out(fold, parts))
     # a language may have most of the rows: ranked in parts first, then among what is left
     ranked = known.distinct().withColumn("hash", F.xxhash64("doc_id"))
     for keys in (["lang", F.pmod("hash", F.lit(PARTS))], ["lang"]):

@@ -55,6 +55,11 @@ def test_languages_of_odd_rows(spark):
     assert {r["lang_pred"] for r in L.languages(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_a_language_of_mostly_empty_texts_is_learned(spark):
+    rows = [(i, None if i % 2 else "", "fr") for i in range(600)] + [(1000 + i, "le chat et les chiens", "fr") for i in range(4)] + [(2000 + i, "the cat and the dog", "en") for i in range(20)]
+    assert L.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=5).langs == ["en", "fr"]
+
+
 def test_held_out_accuracy_of_quality(docs, spark, tables):
     labels = spark.read.parquet(f"{tables}/labels.parquet")
     rows = Q.quality_scores(docs, labels).join(labels, "doc_id").collect()
