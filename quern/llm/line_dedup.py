@@ -4,7 +4,8 @@ A rolling hash over the hashes of two neighbouring lines is taken at each line;
 chunk ends where it is a local minimum. Whether a line ends a chunk depends on the
 lines around it alone, so a passage that two documents share is cut alike in both,
 wherever it stands; and two ends are never neighbours, so no chunk is shorter than
-two lines, unless its document is.
+two lines, unless its document is. A run of equal lines has equal rolling hashes: no
+chunk ends within it but at its start, so it is one chunk with the lines around it.
 
 First only hashes of chunks are shuffled. The bodies of those whose hash repeats are
 then grouped by their bytes, and the first of each group stays.
