@@ -28,7 +28,7 @@ def supplier_part_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_trade_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers of one nation hang together: a forest of stars with known components."""
+    """Customers of one nation hang together: a forest of stars with known components. Suppliers are not read."""
     customers = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("u"), (F.col("c_custkey") + 1000).alias("v"))
     return connected_components(customers, "u", "v")
 
