@@ -1,21 +1,24 @@
 """Exact Jaccard join of documents on word shingles, by token-combination prefixes.
 
 A document's set holds the 64-bit hashes of its distinct five-word shingles. All
-sets are put in one order, rare tokens first. Two sets of Jaccard similarity t or
-more share a token among the first |x| - ceil(t |x|) + 1 of each. A rare token is
-indexed alone. Where a small set's prefix reaches into the frequent class, the
-prefix is extended by one, and pairs of its frequent tokens are indexed instead:
-if two such sets share no rare token in their prefixes, they share at least two
-frequent ones in their extended prefixes. Larger sets (whose pairs of tokens would
-be too many) index frequent tokens alone; sets near the border do both, so that
-any two sets of compatible sizes meet under one of the rules.
+sets are put in one order, rare tokens first, and frequent tokens are put in classes
+by their counts. Two sets of Jaccard similarity t or more share a token among the
+first |x| - ceil(t |x|) + 1 of each. A rare token is indexed alone. Where the first
+token that two sets share is of a frequent class, prefixes are extended: the tokens
+that only one of them holds are fewer than the first shared ones by then, so two
+shared tokens stand side by side in both sets' orders. For each class that a set's
+prefix reaches, the pairs of neighbours in its extended prefix are indexed.
+
+A set that meets another under a class holds no token before that class in common
+with it. That bounds what two sets share, and with it the sizes of partners.
 
 Documents with equal sets are one class from the start. A bucket of classes under
-one key is not expanded to pairs: its members are compared with its smallest
-member first, the links found are closed to components, and then only members
-of a bucket that are still in different components are compared. A bound on the
-symmetric difference from 1,024 parity bits rejects most pairs before the sets of
-the others meet to be intersected.
+one key is not expanded to pairs: its members are compared with the member that has
+fewest rare tokens, then, where that leaves several components, with members chosen
+by hash; links are closed to components each time. Only members of a bucket that are
+still in different components, and whose bounds allow for a link, are joined by size.
+A bound on the symmetric difference from 1,024 parity bits rejects most pairs before
+sets are fetched to be intersected.
 """
 
 from __future__ import annotations
@@ -38,13 +41,17 @@ _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E377
 #: Parity bits of a set, at least; a large one has about as many as tokens.
 BITS = 1024
 #: At most so many tokens are classed as frequent; by counting, none of them stands in fewer than one in so many of all sets' tokens.
-FREQUENT = 1 << 24
-#: Sets of at most this size index pairs of frequent tokens.
-SMALL = 160
-#: Bits of the filter for classes whose sets are needed.
+FREQUENT = 1 << 21
+#: Tokens seen at most so often are rare, and a class reaches to so many times its least count.
+OFTEN, STEP = 64, 8
+#: Bits of the filters for keys that repeat and for classes whose sets are needed.
 FILTER_BITS = 1 << 26
-#: About so many sets are compared with one other in a task.
-TOGETHER = 64
+#: About so many tokens are compared with one set in a task.
+TOGETHER = 1 << 19
+#: Bytes of text, and tokens, that a task holds at once.
+TEXT, HELD = 1 << 21, 1 << 18
+#: Times that buckets are compared with members chosen by hash.
+ROUNDS = 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +97,7 @@ def parity(tokens: np.ndarray) -> list[int]:
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", TEXT):
         data, offsets = _text.utf8(batch.column(batch.schema.get_field_index("text")))
         tokens, at = shingle_sets(data, offsets, width)
         yield batch, tokens, at, set_ids(tokens, at)
@@ -114,7 +121,7 @@ def _survey(width: int, frequent: int):
             allt, weight = allt[order], weight[order]
             first = np.flatnonzero(np.concatenate(([True], allt[1:] != allt[:-1])))
             sums = np.add.reduceat(weight, first)
-            # those seen once in a stretch of two million tokens are not worth a place in the frequent class
+            # those seen once in a stretch of tokens are not worth a place in a frequent class
             keep = sums > max(1, total // (2 * frequent))
             counts = (allt[first][keep], sums[keep])
             held, n_held = [], 0
@@ -130,7 +137,7 @@ def _survey(width: int, frequent: int):
             held.append(part)
             n_held += len(part)
             total += len(part)
-            if n_held > 2_000_000:
+            if n_held > HELD:
                 fold()
             k = len(ids)
             yield pa.RecordBatch.from_arrays(
@@ -142,7 +149,7 @@ def _survey(width: int, frequent: int):
         k = len(t) + 1
         # the last row, without a token, has the number of all tokens
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array([*t.view(np.int64).tolist(), None], pa.int64()), pa.array([*c.tolist(), total], pa.int64())],
+            [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(np.append(t, _U(0)).view(np.int64), mask=np.arange(k) == k - 1), pa.array(np.append(c, total))],
             names=["doc_id", "cid", "n", "parity", "token", "hits"],
         )
 
@@ -160,6 +167,9 @@ class Order:
         self.tokens, self.rank = tokens[by_token], rank[by_token]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.tokens >> _U(42)).astype(np.int64)] = True
+        # the rank from which on counts are beyond each step
+        steps = hits.min() * STEP ** np.arange(1, 22, dtype=np.float64) if len(hits) else np.zeros(0)
+        self.starts = np.unique(np.searchsorted(hits[by_count], steps, "right"))
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Sort keys of tokens; those of frequent ones have the highest bit."""
@@ -172,43 +182,48 @@ class Order:
         return out
 
 
-def index_keys(order: Order, s: np.ndarray, percent: int, small: int = SMALL) -> tuple[np.ndarray, int]:
-    """(keys under which one set is indexed, its rare tokens)."""
+def index_keys(order: Order, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys under which one set is indexed, most tokens that it can share with a set it meets first under each, its rare tokens)."""
     n = len(s)
-    p = n - -(-percent * n // 100) + 1
-    keys = np.sort(order.keys(s))
-    head = keys[:p]
-    rare, own = (int(np.searchsorted(x, _U(1 << 63))) for x in (head, keys))
-    out = [_text.mix(head[:rare] + _U(1))]
-    if rare < p:
-        if n > small:
-            out.append(_text.mix(head[rare:] + _U(1)))
-        if percent * n <= 100 * small:
-            ext = keys[rare : min(n, p + 1)]
-            if len(ext) > 1:
-                i, j = np.triu_indices(len(ext), 1)
-                out.append(_text.mix(_text.mix(ext[i] + _U(2)) * _MULTIPLIERS[0] + ext[j]))
-            if n == 1 or p + 1 > n:
-                # too small a set to be extended: its one token is its key
-                out.append(_text.mix(ext + _U(1)))
-    return np.concatenate(out), own
-
-
-def _index(width: int, percent: int, order):
+    own_only = n - -(-percent * n // 100)
+    order_keys = np.sort(order.keys(s))
+    rare = int(np.searchsorted(order_keys, _U(1 << 63)))
+    head = min(rare, own_only + 1)
+    keys, most = [_text.mix(order_keys[:head] + _U(1))], [n - np.arange(head)]
+    if rare <= own_only:
+        level = np.searchsorted(order.starts, (order_keys[rare:] - _U(1 << 63)).astype(np.int64), "right")
+        for k in np.unique(level[: own_only + 1 - rare]).tolist():
+            low = rare + int(np.searchsorted(level, k))
+            # both sets together hold at most (1 - t) / t times n tokens alone, `low` of them before this class: among so many shared tokens and one more, two are neighbours in both
+            ext = order_keys[low : own_only + (100 - percent) * n // percent - low + 2]
+            keys.append(_text.mix(_text.mix(ext[:-1] + _U(2 + k)) * _MULTIPLIERS[0] + ext[1:]))
+            most.append(np.full(len(keys[-1]), n - low))
+    return np.concatenate(keys), np.concatenate(most), rare
+
+
+def _index(width: int, percent: int, order, wanted=None):
+    """The keys of all sets; with `wanted`, those that pass the filter, with their sets."""
+
     def f(batches):
         table, seen = order.value, set()
         for _, tokens, at, ids in _sets_of(batches, width):
-            keys, cids, sizes = [], [], []
+            keys, cids, ranks, most = [], [], [], []
             for i in np.flatnonzero(np.diff(at)):
                 if ids[i] in seen:
                     continue
                 seen.add(ids[i])
-                k, own = index_keys(table, tokens[at[i] : at[i + 1]], percent)
+                k, m, rare = index_keys(table, tokens[at[i] : at[i + 1]], percent)
+                if wanted is not None:
+                    pick = _bloom.has(wanted.value, k)
+                    k, m = k[pick], m[pick]
+                    cids.append(np.full(len(k), ids[i]))
+                    ranks.append(np.full(len(k), (rare << 32) + at[i + 1] - at[i]))
+                    most.append(m)
                 keys.append(k)
-                cids.append(np.full(len(k), ids[i]))
-                sizes.append(np.full(len(k), (own << 32) + at[i + 1] - at[i]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cids).view(np.int64)), pa.array(np.concatenate(sizes))], names=["key", "cid", "rank"])
+            if keys and wanted is None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], names=["key"])
+            elif keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(cids).view(np.int64)), pa.array(np.concatenate(ranks)), pa.array(np.concatenate(most))], names=["key", "cid", "rank", "most"])
 
     return f
 
@@ -229,30 +244,36 @@ def _emit_sets(width: int, wanted):
     return f
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are similar enough."""
-    spark = docs.sparkSession
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = spark.sparkContext.broadcast(_bloom.build(needed, "cid", FILTER_BITS))
-    sets = docs.select("text").mapInArrow(_emit_sets(width, wanted), "cid long, tokens binary")
+def _sets(needed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cid, tokens) of the classes in `needed`, and perhaps of some others."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_bloom.build(needed, "cid", FILTER_BITS))
+    return docs.select("text").mapInArrow(_emit_sets(width, wanted), "cid long, tokens binary").dropDuplicates(["cid"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, b_n) of classes whose sets are similar enough."""
     # a left side with many partners is met in several places
-    salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("k")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / TOGETHER)).cast("int").alias("salt"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.sum("b_n") / TOGETHER).alias("k"))
+    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"))
     use = salted.select(F.col("a").alias("cid"), "a", "salt", F.lit(True).alias("left")).distinct().unionByName(salted.select(F.col("b").alias("cid"), "a", "salt", F.lit(False).alias("left")))
-    met = use.join(sets.dropDuplicates(["cid"]), "cid")
-
-    def compare(pdf):
-        import pandas as pd
+    met = use.join(sets, "cid")
 
-        left = np.frombuffer(pdf.loc[pdf["left"], "tokens"].iloc[0], _U)
-        out = []
-        for cid, raw in zip(pdf.loc[~pdf["left"], "cid"], pdf.loc[~pdf["left"], "tokens"], strict=True):
-            right = np.frombuffer(raw, _U)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            if 100 * both >= percent * (len(left) + len(right) - both):
-                out.append(cid)
-        return pd.DataFrame({"a": np.full(len(out), pdf["a"].iloc[0], np.int64), "b": np.array(out, np.int64)})
+    def compare(table: pa.Table) -> pa.Table:
+        left = np.asarray(table["left"])
+        tokens = table["tokens"]
+        mine, out = np.frombuffer(tokens[int(np.argmax(left))].as_buffer(), _U), []
+        for i in np.flatnonzero(~left).tolist():
+            other = np.frombuffer(tokens[i].as_buffer(), _U)
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            if 100 * both >= percent * (len(mine) + len(other) - both):
+                out.append(table["cid"][i].as_py())
+        return pa.table({"a": pa.array([table["a"][0].as_py()] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-    return met.groupBy("a", "salt").applyInPandas(compare, "a long, b long")
+    return met.groupBy("a", "salt").applyInArrow(compare, "a long, b long")
 
 
 def _may_link(percent: int, a: str, b: str, n: Column) -> Column:
@@ -268,6 +289,8 @@ def _may_link(percent: int, a: str, b: str, n: Column) -> Column:
 SIGNATURE = 8
 #: Buckets of more members test pairs while they are made.
 FEW = 3
+#: Bins of sizes for each factor of e.
+BINS = 25
 
 
 def _signature() -> Column:
@@ -275,6 +298,40 @@ def _signature() -> Column:
     return F.expr(f"transform(sequence(0, {SIGNATURE - 1}), i -> aggregate(sequence(0, size(parity) div {SIGNATURE} - 1), 0L, (s, j) -> s ^ get(parity, i + {SIGNATURE} * j)))")
 
 
+def _still_open(rows: DataFrame) -> DataFrame:
+    """Of the members (key, cid, n, top, component) of buckets, those that may still link with one of another component; `main` is the component that most of a bucket are in.
+
+    A member that is outside its bucket's main component has a partner only of a size
+    that its bound allows for, and so has the partner.
+    """
+    of = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
+    main = of.groupBy("key").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("members"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.component").alias("main"), "members")
+    rows = rows.select("key", "cid", "n", "top", "component").join(main, "key")
+    outside = F.col("component") != F.col("main")
+    bound = rows.groupBy("key").agg(F.min("n").alias("least"), F.min(F.when(outside, F.col("n"))).alias("out_n"), F.max(F.when(outside, F.col("top"))).alias("out_top"))
+    keep = (outside & (F.col("top") >= F.col("least"))) | (~outside & (F.col("n") <= F.col("out_top")) & (F.col("top") >= F.col("out_n")))
+    return stored(rows.join(bound, "key").where(keep).drop("least", "out_n", "out_top"))
+
+
+def _open_pairs(open_: DataFrame, classes: DataFrame, percent: int, may) -> DataFrame:
+    """Pairs (x, y) of a member outside its bucket's main component with one of another component that no bound excludes."""
+    # sizes are met in bins: a member outside the main component visits those that its bound allows for
+    bin_ = lambda n: F.floor(F.log(n.cast("double")) * BINS).cast("int")
+    n, top = F.col("n"), F.least(F.col("top"), F.floor(F.col("n") * 100 / percent))
+    there = lambda rows: rows.withColumn("bin", bin_(n)).alias("y")
+    low = F.ceil(n * percent / 100)
+    visits = lambda rows: rows.where("component <> main").where(top >= low).withColumn("bin", F.explode(F.sequence(bin_(low), bin_(top)))).alias("x")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.bin") == F.col("y.bin")) & may("x.", "y.")
+    few = open_.where(F.col("members") <= FEW)
+    # in a larger bucket a pair that shares many keys would be made for each: so the bounds on its difference are tested while members are joined
+    parities = classes.where("parity is not null").select("cid", "parity", _signature().alias("s"))
+    signed = open_.where(F.col("members") > FEW).join(parities, "cid").select(*open_.columns, "parity", *(F.col("s")[i].alias(f"s{i}") for i in range(SIGNATURE)))
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SIGNATURE)))
+    both = F.col("x.n") + F.col("y.n")
+    close = (both * (100 - percent) >= differ * (100 + percent)) & _may_link(percent, "x.parity", "y.parity", both)
+    return visits(few).join(there(few), meet).select("x.cid", "y.cid").union(visits(signed).join(there(signed), meet & close).select("x.cid", "y.cid")).toDF("x", "y")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (columns doc_id and text are read; others are left alone).
 
@@ -286,7 +343,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     doc_id. Rows with the same doc_id each count as documents of that id. A null
     doc_id keeps its row; it can link others but never names a component, unless the
     component has nothing else: then component_id is null. An empty table gives none.
+    `percent` is 67 to 100: below that, neighbours in the order need not be shared.
     """
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must be 67 to 100")
     return _components(docs, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
@@ -299,56 +359,66 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     hits = survey.where("token is not null").groupBy("token").agg(F.sum("hits").alias("hits"))
     total = survey.where("cid is null and token is null").agg(F.coalesce(F.sum("hits"), F.lit(0))).first()[0]
     # at most FREQUENT tokens can each hold more than one in FREQUENT of all; so the table has a bound whatever the corpus
-    often = hits.where(F.col("hits") > max(2, total // FREQUENT)).toArrow()
+    often = hits.where(F.col("hits") > max(OFTEN, total // FREQUENT)).toArrow()
     order = spark.sparkContext.broadcast(Order(often["token"].to_numpy().view(_U), often["hits"].to_numpy()))
-    index = docs.select("text").mapInArrow(_index(width, percent, order), "key long, cid long, rank long")
-    by_key = Window.partitionBy("key")
+    # most keys are of one set alone: they are counted first, without their sets, and only those that repeat come with them
+    repeated = docs.select("text").mapInArrow(_index(width, percent, order), "key long").groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    wanted = spark.sparkContext.broadcast(_bloom.build(repeated, "key", FILTER_BITS))
+    index = stored(docs.select("text").mapInArrow(_index(width, percent, order, wanted), "key long, cid long, rank long, most long").groupBy("key", "cid").agg(F.max("rank").alias("rank"), F.max("most").alias("most")))
     # `rank` is a set's number of rare tokens, then its size: the first member of a bucket is the one that differs least from what many share
     size = lambda x: F.col(x).bitwiseAND(0xFFFFFFFF)
     member = F.xxhash64("cid")
-    of_key = (
-        index.withColumn("first", F.min(F.struct("rank", "cid")).over(by_key))
-        .withColumn("high", F.max("cid").over(by_key))
-        .withColumn("least", F.min("cid").over(by_key))
-        .withColumn("set", F.xxhash64(F.bit_xor(member).over(by_key), F.sum(member.bitwiseAND(0xFFFFFFFF)).over(by_key), F.sum(F.shiftrightunsigned(member, 32)).over(by_key), F.count("*").over(by_key)))
-        .where("high <> least")
-        .select(F.col("set").alias("key"), "cid", size("rank").alias("n"), F.col("first.cid").alias("pivot"), size("first.rank").alias("pivot_n"))
+    sets_of_key = (
+        index.groupBy("key")
+        .agg(
+            F.min(F.struct("rank", "cid")).alias("first"),
+            F.count("*").alias("k"),
+            F.xxhash64(F.bit_xor(member), F.sum(member.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(member, 32)), F.count("*")).alias("set"),
+        )
+        .where("k > 1")
+        .select("key", "set", F.col("first.cid").alias("pivot"), size("first.rank").alias("pivot_n"))
     )
     # keys with the same members are one bucket: near copies share hundreds of keys, but few sets of members
-    buckets = stored(of_key.dropDuplicates(["key", "cid"]))
+    top = F.floor((100 + percent) * F.max("most") / percent) - F.max(size("rank"))
+    buckets = stored(index.join(sets_of_key, "key").groupBy(F.col("set").alias("key"), "cid").agg(F.max(size("rank")).alias("n"), top.alias("top"), F.max("pivot").alias("pivot"), F.max("pivot_n").alias("pivot_n")))
     classes = members.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("parity").alias("parity"))
 
     def screened(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity"))
-        return stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link(percent, "a_parity", "b_parity", F.col("a_n") + F.col("b_n"))).select("a", "b"))
+        return stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link(percent, "a_parity", "b_parity", F.col("a_n") + F.col("b_n"))).select("a", "b", "b_n"))
 
     fits = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
     star = screened(buckets.where("cid <> pivot").where(fits("pivot_n", "n")).select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-    links = stored(_verified(star, docs, width, percent))
-    found = connected_components(links, "a", "b")
-    # what a bucket's first comparisons left in several components
-    named = buckets.join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    sized = named.groupBy("key", "component").agg(F.count("*").alias("k"))
-    most = sized.groupBy("key").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("members"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.component").alias("main"), "members")
-    open_ = stored(named.join(most, "key").select("key", "cid", "n", "component", "main", "members"))
-
-    def pairs_of(rows: DataFrame, *tests: Column) -> DataFrame:
-        """Pairs of a member outside its bucket's main component with one of another component."""
-        x, y = rows.where("component <> main").alias("x"), rows.alias("y")
-        on = reduce(lambda a, b: a & b, [F.col("x.key") == F.col("y.key"), F.col("x.component") != F.col("y.component"), fits("x.n", "y.n"), *tests])
-        return x.join(y, on).select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-
-    # in a larger bucket a pair that shares many keys would be made for each: so the bounds on its difference are tested while members are joined
-    parities = classes.where("parity is not null").select("cid", "parity", _signature().alias("s"))
-    signed = open_.where(F.col("members") > FEW).join(parities, "cid").select("key", "cid", "n", "component", "main", "parity", *(F.col("s")[i].alias(f"s{i}") for i in range(SIGNATURE)))
-    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SIGNATURE)))
-    both = F.col("x.n") + F.col("y.n")
-    met = pairs_of(open_.where(F.col("members") <= FEW)).union(pairs_of(signed, both * (100 - percent) >= differ * (100 + percent), _may_link(percent, "x.parity", "y.parity", both)))
-    rest = screened(met.distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = stored(_verified(rest, docs, width, percent))
-    found = connected_components(links.union(more), "a", "b")
+    links = stored(_verified(star, _sets(_ends(star), docs, width), percent))
+    found = connected_components(links, "a", "b").select(F.col("node").alias("cid"), "component")
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    tried = star.select(*ordered("a", "b"))
+    open_ = _still_open(buckets.select("key", "cid", "n", "top").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    sets, merged = None, []
+    for turn in range(ROUNDS + 1):
+        if open_.isEmpty():
+            break
+        if sets is None:
+            sets = stored(_sets(open_.select("cid").distinct(), docs, width))
+        may = lambda x, y: reduce(lambda a, b: a & b, [F.col(f"{x}component") != F.col(f"{y}component"), fits(f"{x}n", f"{y}n"), F.col(f"{x}n") <= F.col(f"{y}top"), F.col(f"{y}n") <= F.col(f"{x}top")])
+        if turn < ROUNDS:
+            chosen = open_.groupBy("key").agg(F.min_by(F.struct("cid", "n", "top", "component"), F.xxhash64("key", "cid", F.lit(turn))).alias("p")).select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("cid", "n", "top", "component")))
+            pairs = open_.join(chosen, "key").where(may("", "p_")).select(*ordered("cid", "p_cid"))
+        else:
+            pairs = _open_pairs(open_, classes, percent, may).select(*ordered("x", "y"))
+        rest = screened(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        more = stored(_verified(rest, sets, percent))
+        tried = tried.union(rest.select("a", "b"))
+        named = open_.select("cid", "component").distinct()
+        edges = more.join(named.toDF("a", "u"), "a").join(named.toDF("b", "v"), "b").select("u", "v")
+        step = stored(connected_components(edges, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("joined")))
+        merged.append(step)
+        open_ = _still_open(open_.select("key", "cid", "n", "top", "component").join(step, "component", "left").withColumn("component", F.coalesce("joined", "component"))) if turn < ROUNDS else open_
+    found = members.where("n > 0").select("cid").distinct().join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    for step in merged:
+        found = found.join(step, "component", "left").select("cid", F.coalesce("joined", "component").alias("component"))
     # a class takes the smallest doc_id of its own rows; a component that of its classes
-    own = members.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    own = members.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least")).join(found, "cid")
     least = own.groupBy("component").agg(F.min("least").alias("component_id"))
     named = own.join(least, "component").select("cid", "component", "component_id")
     return members.join(named, "cid", "left").select("cid", "component", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -61,29 +61,64 @@ def _families(seed, n=160):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "frequent", "small"), [(1, 1 << 20, 160), (2, 60, 160), (3, 60, 20)])
-def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, frequent, small):
+@pytest.mark.parametrize(("seed", "frequent", "often", "step", "few"), [(1, 1 << 20, 64, 8, 3), (2, 60, 2, 2, 0), (3, 1 << 20, 2, 8, 1)])
+def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, frequent, often, step, few):
     monkeypatch.setattr(N, "FREQUENT", frequent)
-    monkeypatch.setattr(N, "SMALL", small)
-    monkeypatch.setattr(N, "TOGETHER", 3)
+    monkeypatch.setattr(N, "OFTEN", often)
+    monkeypatch.setattr(N, "STEP", step)
+    monkeypatch.setattr(N, "FEW", few)
+    monkeypatch.setattr(N, "TOGETHER", 300)
     docs = _families(seed)
     assert _rows(N.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == brute(docs)
 
 
-def test_index_keys_meet_for_every_similar_pair():
-    rng = np.random.default_rng(4)
-    for trial in range(1500):
-        n = int(rng.integers(1, 60))
-        pool = rng.integers(1, 1 << 63, 90, dtype=np.uint64) * np.uint64(2)
-        frequent = pool[: int(rng.integers(0, 90))]
-        order = N.Order(frequent, rng.integers(3, 9, len(frequent)))
+@pytest.mark.parametrize("percent", [67, 80, 95])
+def test_index_keys_meet_for_every_similar_pair_within_their_bounds(percent):
+    rng, met = np.random.default_rng(4), 0
+    for trial in range(2500):
+        n = int(rng.integers(1, 400 if trial % 5 == 0 else 60))
+        pool = rng.integers(1, 1 << 63, 3 * n + 30, dtype=np.uint64) * np.uint64(2)
+        frequent = pool[: int(rng.integers(0, len(pool)))]
+        order = N.Order(frequent, rng.integers(3, 9, len(frequent)) ** rng.integers(1, 6, len(frequent)))
         x = rng.choice(pool, n, replace=False)
         y = np.unique(np.concatenate([x[rng.random(n) > 0.1 * (trial % 3)], rng.choice(pool, int(rng.integers(0, 1 + n // 4)))]))
         both = len(np.intersect1d(x, y))
-        if len(y) and 100 * both >= 80 * (len(x) + len(y) - both):
-            for small in (160, 12):
-                a, b = N.index_keys(order, np.sort(x), 80, small)[0], N.index_keys(order, y, 80, small)[0]
-                assert np.intersect1d(a, b).size, (n, len(y), both, small)
+        if len(y) and 100 * both >= percent * (len(x) + len(y) - both) and both < max(n, len(y)):
+            (a, p, _), (b, q, _) = N.index_keys(order, np.sort(x), percent), N.index_keys(order, y, percent)
+            shared = np.intersect1d(a, b)
+            assert any(p[a == k].max() >= both and q[b == k].max() >= both for k in shared), (n, len(y), both)
+            met += 1
+    assert met > 100
+
+
+def test_one_large_group_of_near_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    sent = []
+
+    def counted(pairs, sets, percent, real=N._verified):
+        sent[-1] += pairs.count()
+        return real(pairs, sets, percent)
+
+    monkeypatch.setattr(N, "_verified", counted)
+    for n in (1000, 2000):
+        rnd = random.Random(5)
+        root, docs = [f"w{i}" for i in range(80)], []
+        for i in range(n):
+            w = list(root)
+            for _ in range(rnd.randint(1, 3)):
+                w[rnd.randrange(80)] = f"x{rnd.randrange(10**9)}"
+            docs.append((i, " ".join(w)))
+        sent.append(0)
+        assert len({r["component_id"] for r in N.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}) < 0.6 * n
+    assert sent[1] <= 2.3 * sent[0] and sent[1] < 2 * n
+
+
+def test_texts_of_100_000_words(spark):
+    rnd = random.Random(8)
+    line = [f"w{rnd.randrange(50_000)}" for _ in range(100_000)]
+    other = [w if rnd.random() > 0.02 else "edit" for w in line]
+    far = [w if rnd.random() > 0.06 else "edit" for w in line]
+    docs = [(i, " ".join(x)) for i, x in enumerate([line, other, far, line[:90_000], line[:70_000]])]
+    assert _rows(N.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == brute(docs)
 
 
 def test_parity_bounds_the_difference():
