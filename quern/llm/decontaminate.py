@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
@@ -190,7 +190,8 @@ def _marks(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     found = [np.zeros(0, np.int64)]
     rows, n_items = len(at) - 1, max(1, len(items.ids))
     if len(items.place):
-        for _, s, back in _shards(hashes, at, items.depth, int(items.window.max()) - 1):
+        longest = int(items.window.max())
+        for _, s, back in _shards(hashes, at, longest, longest - 1):
             place, query = items.occurrences(s)
             word = back[place]
             edge += np.bincount(word, minlength=len(edge)) - np.bincount(word + items.window[query], minlength=len(edge))
@@ -230,15 +231,23 @@ def _scan(items):
     return f
 
 
-def _blocks(benchmark: DataFrame, window: int) -> Iterator:
-    """Broadcasts of the test items, ITEM_BYTES of text at a time."""
+def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator]:
+    """(number of blocks, broadcasts of the test items): ITEM_BYTES of text at a time, each made when it is asked for; equal items are one."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEM_BYTES))
-    for k in range(n):
-        part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).collect()
-        yield n, spark.sparkContext.broadcast(Items([r["id"] for r in part], [r["text"] for r in part], window))
+    rows = stored(rows) if n > 1 else rows
+
+    def each():
+        for k in range(n):
+            part = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).collect()
+            block = spark.sparkContext.broadcast(Items([r["id"] for r in part], [r["text"] for r in part], window))
+            yield block
+            if n > 1:
+                block.unpersist()
+
+    return n, each()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
@@ -254,10 +263,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     or no documents: nothing is hit, or no rows. Items beyond ITEM_BYTES of text take
     one pass for each block of that size.
     """
-    parts = list(_blocks(benchmark, window))
+    n_blocks, blocks = _blocks(benchmark, window)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if len(parts) == 1:
-        scan, items = _scan(parts[0][1]), parts[0][1]
+    if n_blocks == 1:
+        items = next(blocks)
+        scan = _scan(items)
 
         def report(batches):
             for batch, n, hit, at, found in scan(batches):
@@ -269,51 +279,52 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
 
         return read.mapInArrow(report, REPORT)
     # rows are numbered once, in a stored table: each block's pass has to find the same numbers
-    return _merged(stored(read.withColumn("row", F.monotonically_increasing_id())), parts).drop("row")
+    return _merged(stored(read.withColumn("row", F.monotonically_increasing_id())), blocks).drop("row")
 
 
-def _merged(read: DataFrame, parts: list) -> DataFrame:
-    """REPORT for items in several blocks: each block's hit words, joined by row."""
+def _merged(read: DataFrame, blocks: Iterator) -> DataFrame:
+    """REPORT for items in several blocks, one pass for each: the ranges of hit words and the items found, joined by row."""
 
-    def one(scan, items):
+    def one(items, first):
         def f(batches):
-            for batch, n, hit, at, found in scan(batches):
+            for batch, n, hit, at, found in _scan(items)(batches):
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                 # a run of hit words may cover the end of one text and the start of the next
                 starts = np.union1d(edges[::2], at[:-1][(at[:-1] < len(hit)) & np.append(hit, False)[at[:-1]]])
                 ends = np.union1d(edges[1::2], at[1:][(at[1:] > 0) & np.append(hit, False)[at[1:] - 1]])
                 row = np.searchsorted(at, starts, "right") - 1
                 cut = np.searchsorted(row, np.arange(1, len(n)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(2), pa.array(n), pa.array([x.tolist() for x in np.split(starts - at[row], cut)], pa.list_(pa.int64())), pa.array([x.tolist() for x in np.split(ends - at[row], cut)], pa.list_(pa.int64())), pa.array([[items.value.ids[k] for k in x] for x in found], pa.list_(pa.string()))],
-                    names=["doc_id", "row", "n_words", "starts", "ends", "items"],
+                ranges = [[{"start": a, "end": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in zip(np.split(starts - at[row], cut), np.split(ends - at[row], cut), strict=True)]
+                out = pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), pa.array(n), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([[items.value.ids[k] for k in x] for x in found], pa.list_(pa.string()))],
+                    names=["doc_id", "row", "n_words", "ranges", "items"],
                 )
+                # the first pass reports every row, the others those with hits
+                yield out if first else out.filter(pa.array([bool(x) for x in ranges]))
 
         return f
 
-    def merge(key, pdf):
-        import pandas as pd
-
-        hit = np.zeros(int(pdf["n_words"].iloc[0]), bool)
-        for starts, ends in zip(pdf["starts"], pdf["ends"], strict=True):
-            for a, b in zip(starts, ends, strict=True):
-                hit[a:b] = True
-        names = sorted({x for xs in pdf["items"] for x in xs})
-        n = int(hit.sum())
-        return pd.DataFrame({"row": [key[0]], "doc_id": pdf["doc_id"].iloc[:1].tolist(), "n_words": [len(hit)], "n_hit": [n], "n_items": [len(names)], "items_sha256": [_digest(names)], "contaminated": [bool(_contaminated(n, len(hit)))]}).astype({"doc_id": "Int64"})
-
-    found = None
-    for _, items in parts:
-        part = read.mapInArrow(one(_scan(items), items), "doc_id long, row long, n_words long, starts array<long>, ends array<long>, items array<string>")
-        found = part if found is None else found.union(part)
-    return found.groupBy("row").applyInPandas(merge, "row long, " + REPORT)
+    parts = [stored(read.mapInArrow(one(items, not k), "doc_id long, row long, n_words long, ranges array<struct<start: long, end: long>>, items array<string>")) for k, items in enumerate(blocks)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    # ranges of several blocks overlap: each adds what lies beyond those before it
+    before = F.coalesce(F.max("end").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = found.select("row", F.explode("ranges").alias("r")).select("row", "r.start", "r.end").withColumn("new", F.greatest(F.col("end") - F.greatest("start", before), F.lit(0)))
+    hits = ranges.groupBy("row").agg(F.sum("new").alias("n_hit"))
+    named = found.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    n_hit, names = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("names", F.array().cast("array<string>"))
+    return (
+        parts[0].select("row", "doc_id", "n_words").join(hits, "row", "left").join(named, "row", "left")
+        .select("row", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), _contaminated(n_hit, F.col("n_words")).alias("contaminated"))
+    )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The rows of `docs`, all columns, that `contamination` does not mark. Nulls, repeats and empty inputs as there."""
-    parts = list(_blocks(benchmark, window))
-    if len(parts) == 1:
-        scan = _scan(parts[0][1])
+    n_blocks, blocks = _blocks(benchmark, window)
+    if n_blocks == 1:
+        scan = _scan(next(blocks))
 
         def keep(batches):
             for batch, n, hit, at, _ in scan(batches):
@@ -322,18 +333,21 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> D
         return docs.mapInArrow(keep, docs.schema)
     row = "__quern_row"
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    marked = _merged(numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("row")), parts)
+    marked = _merged(numbered.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(row).alias("row")), blocks)
     return numbered.join(marked.where("contaminated").select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, window: int = 13) -> DataFrame:
     """(item_id, item_start, length, doc_id, doc_start): for each suffix of a test item and each shard, the longest verbatim match of `min_words` words or more, and where it stands.
 
-    Starts count words from 0. Shards are cut by size, so a suffix may be listed once for each.
+    Starts count words from 0. Shards are cut by size, so a suffix may be listed once for
+    each. Null or empty texts match nothing; a null doc_id or item_id is passed on as it
+    is; repeated rows are each listed; of several places in a shard that match as long,
+    one is listed. No items or no documents: no rows.
     """
     found = None
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for _, items in _blocks(benchmark, window):
+    for items in _blocks(benchmark, window)[1]:
 
         def f(batches, items=items):
             it = items.value
@@ -350,6 +364,6 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 13,
                     names = [it.ids[k] if k >= 0 else None for k in it.item[q]]
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(it.start[q]), pa.array(best[q]), batch.column(0).take(pa.array(row)), pa.array(word - at[row])], names=["item_id", "item_start", "length", "doc_id", "doc_start"])
 
-        part = read.mapInArrow(f, "item_id string, item_start long, length long, doc_id long, doc_start long")
+        part = stored(read.mapInArrow(f, "item_id string, item_start long, length long, doc_id long, doc_start long"))
         found = part if found is None else found.union(part)
     return found

@@ -124,17 +124,21 @@ class Scorer:
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """(language, probability) of each text; `und` and 0 for one without letters."""
-        rows = len(offsets) - 1
+    @staticmethod
+    def lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text has a letter."""
         size = np.diff(offsets)
-        langs = self.net.langs
         full = np.flatnonzero(size)
-        lettered = np.zeros(rows, bool)
+        lettered = np.zeros(len(size), bool)
         if len(full):
             lettered[full] = np.logical_or.reduceat(_ASCII_LETTER[data], offsets[full])
         for i in np.flatnonzero(~lettered & (size > 0)):
             lettered[i] = any(c.isalpha() for c in bytes(data[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace"))
+        return lettered
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """(language, probability) of each text; `und` and 0 for one without letters."""
+        rows, size, lettered, langs = len(offsets) - 1, np.diff(offsets), self.lettered(data, offsets), self.net.langs
         if not langs:
             return ["und"] * rows, np.zeros(rows)
         total = np.zeros((rows, len(langs)))
@@ -174,7 +178,9 @@ def trained(docs: DataFrame, fold: int = 2, parts: int = 4, per_language: int =
     span = F.greatest(F.octet_length("text") - WINDOW, F.lit(0))
     places = F.transform(F.sequence(F.lit(0), F.lit(FIT_WINDOWS - 1)), lambda k: F.floor(k * span / max(1, FIT_WINDOWS - 1)).cast("int"))
     raw = docs.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).where("octet_length(text) > 0").join(F.broadcast(chosen), ["doc_id", "lang"])
-    got = raw.select("doc_id", "lang", F.explode(F.array_distinct(F.transform(places, lambda a: F.substring("text", a + 1, F.lit(WINDOW))))).alias("window")).orderBy("lang", "doc_id", "window").toPandas()
+    # a doc_id may be repeated without bound: of its rows in one language, the text of the least hash is taken
+    cut = raw.select("doc_id", "lang", F.struct(F.xxhash64("text").alias("hash"), F.array_distinct(F.transform(places, lambda a: F.substring("text", a + 1, F.lit(WINDOW)))).alias("windows")).alias("cut"))
+    got = cut.groupBy("doc_id", "lang").agg(F.min("cut").alias("cut")).select("doc_id", "lang", F.explode("cut.windows").alias("window")).orderBy("lang", "doc_id", "window").toPandas()
     langs = sorted(got["lang"].unique())
     net = Net(langs)
     if langs:
@@ -220,9 +226,25 @@ def languages(docs: DataFrame, fold: int = 2, parts: int = 4) -> DataFrame:
 
 
 def in_language(docs: DataFrame, accepted: list[str] | None = None, min_score: float = 0.0) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language: not `und`, one of `accepted` (all, if None), with `min_score` or more."""
+    """The rows of `docs`, all columns, whose text has a language: not `und`, one of `accepted` (all, if None), with `min_score` or more.
+
+    Null and empty texts and those without a letter are `und` and go. Repeated rows are
+    each judged; columns of any name are passed on; an empty table gives no rows. Where
+    no row has both a lang and a text, no language can be learned: then all texts with
+    a letter stay, and to ask for some languages or for a score raises ValueError.
+    """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    scored = _scored(docs.sparkSession.sparkContext.broadcast(trained(read)))
+    net = trained(read)
+    if not net.langs:
+        if (accepted is not None or min_score > 0) and not docs.isEmpty():
+            raise ValueError("no row has a lang to learn from")
+
+        def with_letters(batches):
+            for batch in slices(batches, "text", 2 << 20):
+                yield batch.filter(pa.array(Scorer.lettered(*_text.utf8(batch.column(batch.schema.get_field_index("text"))))))
+
+        return docs.mapInArrow(with_letters, docs.schema)
+    scored = _scored(docs.sparkSession.sparkContext.broadcast(net))
 
     def f(batches):
         for batch, langs, score in scored(batches):

@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import stored
+
 #: Modulus and factor of the rolling hash: a prime below 2 ** 32, so no product leaves 64 bits.
 _PRIME, _FACTOR = 4294967291, 31
 
@@ -41,13 +43,26 @@ def _ends(lines: Column) -> Column:
     return F.when(last < 3, F.array(last)).otherwise(let(hashes, lambda h: let(rolled(h), least)))
 
 
+def _code(begin: Column, size: Column) -> Column:
+    """Where a chunk begins, counting lines from 0, and how many lines it has, as one number: they sort by `begin`, and sets of them are compared by hash."""
+    return F.shiftleft(begin.cast("long"), 31).bitwiseOR(size.cast("long"))
+
+
+def _begin(code: Column) -> Column:
+    return F.shiftright(code, 31).cast("int")
+
+
+def _size(code: Column) -> Column:
+    return code.bitwiseAND((1 << 31) - 1).cast("int")
+
+
 def _chunks(text: Column) -> Column:
-    """Array of (no, begin, size, hash) of a text's chunks; begin counts lines from 0."""
+    """Array of (code, hash) of a text's chunks; the hash of a single line is null."""
 
     def of(lines: Column, ends: Column) -> Column:
         def chunk(end: Column, no: Column) -> Column:
             begin = F.coalesce(F.get(ends, no - 1) + 1, F.lit(0))
-            return let(F.struct(begin.alias("begin"), (end - begin + 1).alias("size")), lambda s: F.struct(no.alias("no"), s["begin"].alias("begin"), s["size"].alias("size"), F.when(s["size"] > 1, _digest(F.array_join(F.slice(lines, s["begin"] + 1, s["size"]), "\n"), 15)).alias("hash")))
+            return let(F.struct(begin.alias("begin"), (end - begin + 1).alias("size")), lambda s: F.struct(_code(s["begin"], s["size"]).alias("code"), F.when(s["size"] > 1, _digest(F.array_join(F.slice(lines, s["begin"] + 1, s["size"]), "\n"), 15)).alias("hash")))
 
         return F.transform(ends, chunk)
 
@@ -66,33 +81,43 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _removals(docs: DataFrame) -> DataFrame:
-    """`docs` with __quern_gone: the (begin, size) of the chunks that go, or null."""
+    """`docs` with __quern_gone: the codes of the chunks that go, in order, or null."""
     named = _named(docs)
     # names of their own, as `docs` may have columns of any other name
     of = F.struct(F.col("doc_id").cast("long").alias("id"), F.col("__quern_name").alias("name"))
-    chunks = named.select(of.alias("of"), F.explode(_chunks(_whole())).alias("c")).where("c.hash is not null").select("of", "c.no", "c.begin", "c.size", "c.hash")
-    # pre-aggregated before the shuffle; a chunk in every document is one row a task
-    often = chunks.groupBy("hash").agg(F.min(F.struct("of", "no")).alias("least"), F.max(F.struct("of", "no")).alias("most")).where("least <> most").select("hash")
-    lists = chunks.join(often, "hash", "left_semi").groupBy(F.col("of.name").alias("__quern_key")).agg(F.collect_set(F.struct("no", "begin", "size")).alias("__quern_again"))
+    chunks = stored(named.select(of.alias("of"), F.explode(_chunks(_whole())).alias("c")).where("c.hash is not null").select("of", "c.code", "c.hash"))
+    # pre-aggregated before the shuffle: a chunk in every document is one row a task. Stored, so that the join has both sides shuffled for it alone, and a hot hash can be split
+    often = stored(chunks.groupBy("hash").agg(F.min(F.struct("of", "code")).alias("least"), F.max(F.struct("of", "code")).alias("most")).where("least <> most").select("hash"))
+    lists = chunks.join(often, "hash", "left_semi").groupBy(F.col("of.name").alias("__quern_key")).agg(F.collect_set("code").alias("__quern_again"))
     marked = named.join(lists, F.col("__quern_name") == F.col("__quern_key"), "left").drop("__quern_key")
     again = F.col("__quern_again")
     bodies = marked.where(again.isNotNull()).select(
         of.alias("of"),
         # of all columns: so that this step reads the same shuffle of the documents as the last one, and their texts are moved once
-        F.xxhash64(*docs.columns).alias("row"),
-        F.explode(let(F.split(_whole(), "\n"), lambda x: F.transform(again, lambda c: F.struct(c["no"].alias("no"), F.array_join(F.slice(x, c["begin"] + 1, c["size"]), "\n").alias("body"))))).alias("c"),
+        F.xxhash64(*(x.name for x in docs.schema if "map<" not in x.dataType.simpleString() and x.dataType.simpleString() != "variant")).alias("row"),
+        F.explode(let(F.split(_whole(), "\n"), lambda x: F.transform(again, lambda c: F.struct(c.alias("code"), F.array_join(F.slice(x, _begin(c) + 1, _size(c)), "\n").alias("body"))))).alias("c"),
     )
     # bytes are compared here: a chunk goes only where the same body stands before it
-    firsts = bodies.groupBy("c.body").agg(F.min(F.struct("of", F.col("c.no").alias("no"))).alias("first"), F.max("row").alias("row")).where("row is not null")
-    stays = firsts.groupBy(F.col("first.of.name").alias("__quern_key")).agg(F.collect_set("first.no").alias("__quern_first"))
+    firsts = bodies.groupBy("c.body").agg(F.min(F.struct("of", F.col("c.code").alias("code"))).alias("first"), F.max("row").alias("row")).where("row is not null")
+    stays = firsts.groupBy(F.col("first.of.name").alias("__quern_key")).agg(F.collect_set("first.code").alias("__quern_first"))
     kept = marked.join(stays, F.col("__quern_name") == F.col("__quern_key"), "left").drop("__quern_key")
-    gone = F.filter(again, lambda c: ~F.coalesce(F.array_contains(F.col("__quern_first"), c["no"]), F.lit(False)))
+    gone = F.array_sort(F.array_except(again, F.coalesce("__quern_first", F.array().cast("array<bigint>"))))
     return kept.withColumn("__quern_gone", F.when(again.isNotNull(), gone)).drop("__quern_again", "__quern_first")
 
 
 def _rest(lines: Column) -> Column:
-    """The lines outside the chunks that go."""
-    return F.filter(lines, lambda x, i: ~F.exists("__quern_gone", lambda c: (i >= c["begin"]) & (i < c["begin"] + c["size"])))
+    """The lines outside the chunks that go: what stands before each of them, and after the last."""
+
+    def between(i: Column, gone: Column, lines: Column) -> Column:
+        start = F.coalesce(_begin(F.get(gone, i - 1)) + _size(F.get(gone, i - 1)), F.lit(0))
+        return F.slice(lines, start + 1, F.coalesce(_begin(F.get(gone, i)), F.size(lines)) - start)
+
+    return let(F.struct(lines.alias("lines"), F.col("__quern_gone").alias("gone")), lambda s: F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["gone"])), lambda i: between(i, s["gone"], s["lines"]))))
+
+
+def _removed() -> Column:
+    """How many lines go."""
+    return F.coalesce(F.aggregate("__quern_gone", F.lit(0), lambda a, c: a + _size(c)), F.lit(0))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -104,15 +129,14 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Lines are cut at line feeds alone; a text without removals is returned as it is, null
     as an empty text. Texts of one line lose nothing; an empty table gives no rows.
     """
-    removed = F.coalesce(F.aggregate("__quern_gone", F.lit(0), lambda a, c: a + c["size"]), F.lit(0))
     text = F.when(F.size("__quern_gone") > 0, F.array_join(_rest(F.split(_whole(), "\n")), "\n")).otherwise(_whole())
-    return _removals(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(_whole(), "\n")).cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), text.alias("text"))
+    return _removals(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(_whole(), "\n")).cast("long").alias("n_lines"), _removed().cast("long").alias("n_removed"), text.alias("text"))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """`docs`, all columns, with `text` (and n_chars, where there is one) as `line_dedup` leaves it; documents that lose all their lines go."""
     lines = F.split(_whole(), "\n")
-    left = _removals(docs).where(F.coalesce(F.aggregate("__quern_gone", F.lit(0), lambda a, c: a + c["size"]), F.lit(0)) < F.size(lines))
+    left = _removals(docs).where(_removed() < F.size(lines))
     text = F.when(F.size("__quern_gone") > 0, F.array_join(_rest(lines), "\n")).otherwise(F.col("text"))
     changed = left.withColumn("text", text)
     if "n_chars" in docs.columns:

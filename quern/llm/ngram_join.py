@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -201,14 +202,18 @@ def index_keys(order: Order, s: np.ndarray, percent: int) -> tuple[np.ndarray, n
     return np.concatenate(keys), np.concatenate(most), rare
 
 
-def _index(width: int, percent: int, order, wanted=None):
-    """The keys of all sets; with `wanted`, those that pass the filter, with their sets."""
+def _index(width: int, percent: int, order, owners, wanted=None):
+    """The keys of all sets; with `wanted`, those that pass the filter, with their sets.
+
+    Of equal sets that of the least doc_id is indexed, and perhaps others that the filter of owners lets pass.
+    """
 
     def f(batches):
         table, seen = order.value, set()
-        for _, tokens, at, ids in _sets_of(batches, width):
+        for batch, tokens, at, ids in _sets_of(batches, width):
             keys, cids, ranks, most = [], [], [], []
-            for i in np.flatnonzero(np.diff(at)):
+            own = _bloom.has(owners.value, ids ^ pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False).view(_U))
+            for i in np.flatnonzero(own & (np.diff(at) > 0)):
                 if ids[i] in seen:
                     continue
                 seen.add(ids[i])
@@ -290,7 +295,7 @@ SIGNATURE = 8
 #: Buckets of more members test pairs while they are made.
 FEW = 3
 #: Bins of sizes for each factor of e.
-BINS = 25
+BINS = 12
 
 
 def _signature() -> Column:
@@ -298,38 +303,50 @@ def _signature() -> Column:
     return F.expr(f"transform(sequence(0, {SIGNATURE - 1}), i -> aggregate(sequence(0, size(parity) div {SIGNATURE} - 1), 0L, (s, j) -> s ^ get(parity, i + {SIGNATURE} * j)))")
 
 
-def _still_open(rows: DataFrame) -> DataFrame:
-    """Of the members (key, cid, n, top, component) of buckets, those that may still link with one of another component; `main` is the component that most of a bucket are in.
+def _bin(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) * BINS).cast("int")
+
+
+def _bit(b: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)))
+
+
+def _partners(n: Column, top: Column, percent: int) -> Column:
+    """The bins of sizes that partners may have, as an array."""
+    low, high = F.ceil(n * percent / 100), F.least(top, F.floor(n * 100 / percent))
+    return F.when(high >= low, F.sequence(_bin(low), _bin(high))).otherwise(F.array().cast("array<int>"))
+
+
+def _still_open(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the members (key, cid, n, top, component) of buckets, those that may still link with one of another component.
 
-    A member that is outside its bucket's main component has a partner only of a size
-    that its bound allows for, and so has the partner.
+    `main` is the component that most of a bucket are in, `visits` has the bins in
+    which a member outside it may have partners. A member stays if its bound allows
+    for a size that another member has, of which one is outside the main component.
     """
     of = rows.groupBy("key", "component").agg(F.count("*").alias("k"))
     main = of.groupBy("key").agg(F.max(F.struct("k", "component")).alias("most"), F.sum("k").alias("members"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("most.component").alias("main"), "members")
-    rows = rows.select("key", "cid", "n", "top", "component").join(main, "key")
+    rows = rows.select("key", "cid", "n", "top", "component").join(main, "key").withColumn("bin", _bin(F.col("n")))
     outside = F.col("component") != F.col("main")
-    bound = rows.groupBy("key").agg(F.min("n").alias("least"), F.min(F.when(outside, F.col("n"))).alias("out_n"), F.max(F.when(outside, F.col("top"))).alias("out_top"))
-    keep = (outside & (F.col("top") >= F.col("least"))) | (~outside & (F.col("n") <= F.col("out_top")) & (F.col("top") >= F.col("out_n")))
-    return stored(rows.join(bound, "key").where(keep).drop("least", "out_n", "out_top"))
+    sizes = rows.groupBy("key", "bin").agg(F.count("*").alias("k"), F.count_if(outside).alias("out"))
+    taken = sizes.groupBy("key").agg(*(F.bit_or(F.when(F.col(c) >= least, _bit(F.col("bin"))).otherwise(F.lit(0).cast("long"))).alias(name) for name, c, least in (("one", "k", 1), ("two", "k", 2), ("out", "out", 1))))
+    own = _bit(F.col("bin"))
+    others = F.when(outside, F.col("one").bitwiseAND(F.bitwise_not(own)).bitwiseOR(F.col("two"))).otherwise(F.col("out"))
+    visits = F.filter(_partners(F.col("n"), F.col("top"), percent), lambda b: _bit(b).bitwiseAND(F.col("others")) != 0)
+    return stored(rows.join(taken, "key").withColumn("others", others).withColumn("visits", visits).where(F.size("visits") > 0).drop("one", "two", "out", "others"))
 
 
 def _open_pairs(open_: DataFrame, classes: DataFrame, percent: int, may) -> DataFrame:
     """Pairs (x, y) of a member outside its bucket's main component with one of another component that no bound excludes."""
-    # sizes are met in bins: a member outside the main component visits those that its bound allows for
-    bin_ = lambda n: F.floor(F.log(n.cast("double")) * BINS).cast("int")
-    n, top = F.col("n"), F.least(F.col("top"), F.floor(F.col("n") * 100 / percent))
-    there = lambda rows: rows.withColumn("bin", bin_(n)).alias("y")
-    low = F.ceil(n * percent / 100)
-    visits = lambda rows: rows.where("component <> main").where(top >= low).withColumn("bin", F.explode(F.sequence(bin_(low), bin_(top)))).alias("x")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.bin") == F.col("y.bin")) & may("x.", "y.")
-    few = open_.where(F.col("members") <= FEW)
-    # in a larger bucket a pair that shares many keys would be made for each: so the bounds on its difference are tested while members are joined
-    parities = classes.where("parity is not null").select("cid", "parity", _signature().alias("s"))
-    signed = open_.where(F.col("members") > FEW).join(parities, "cid").select(*open_.columns, "parity", *(F.col("s")[i].alias(f"s{i}") for i in range(SIGNATURE)))
+    meet = lambda rows: [rows.where("component <> main").withColumn("bin", F.explode("visits")).alias("x"), rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.bin") == F.col("y.bin")) & may("x.", "y.")]
+    x, y, on = meet(open_.where(F.col("members") <= FEW))
+    pairs = x.join(y, on).select("x.cid", "y.cid")
+    # in a larger bucket a pair that shares many keys would be made for each: so a bound on its difference is tested while members are joined
+    parities = classes.where("parity is not null").select("cid", _signature().alias("s"))
+    signed = open_.where(F.col("members") > FEW).join(parities, "cid").select(*open_.columns, *(F.col("s")[i].alias(f"s{i}") for i in range(SIGNATURE)))
     differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SIGNATURE)))
-    both = F.col("x.n") + F.col("y.n")
-    close = (both * (100 - percent) >= differ * (100 + percent)) & _may_link(percent, "x.parity", "y.parity", both)
-    return visits(few).join(there(few), meet).select("x.cid", "y.cid").union(visits(signed).join(there(signed), meet & close).select("x.cid", "y.cid")).toDF("x", "y")
+    x, y, on = meet(signed)
+    return pairs.union(x.join(y, on & ((F.col("x.n") + F.col("y.n")) * (100 - percent) >= differ * (100 + percent))).select("x.cid", "y.cid")).toDF("x", "y")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -362,9 +379,11 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     often = hits.where(F.col("hits") > max(OFTEN, total // FREQUENT)).toArrow()
     order = spark.sparkContext.broadcast(Order(often["token"].to_numpy().view(_U), often["hits"].to_numpy()))
     # most keys are of one set alone: they are counted first, without their sets, and only those that repeat come with them
-    repeated = docs.select("text").mapInArrow(_index(width, percent, order), "key long").groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    owner = members.where("n > 0").groupBy("cid").agg(F.min(F.coalesce("doc_id", F.lit(0))).alias("least")).select(F.col("cid").bitwiseXOR(F.col("least")).alias("owner"))
+    owners = spark.sparkContext.broadcast(_bloom.build(owner, "owner", FILTER_BITS))
+    repeated = docs.mapInArrow(_index(width, percent, order, owners), "key long").groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     wanted = spark.sparkContext.broadcast(_bloom.build(repeated, "key", FILTER_BITS))
-    index = stored(docs.select("text").mapInArrow(_index(width, percent, order, wanted), "key long, cid long, rank long, most long").groupBy("key", "cid").agg(F.max("rank").alias("rank"), F.max("most").alias("most")))
+    index = stored(docs.mapInArrow(_index(width, percent, order, owners, wanted), "key long, cid long, rank long, most long").groupBy("key", "cid").agg(F.max("rank").alias("rank"), F.max("most").alias("most")))
     # `rank` is a set's number of rare tokens, then its size: the first member of a bucket is the one that differs least from what many share
     size = lambda x: F.col(x).bitwiseAND(0xFFFFFFFF)
     member = F.xxhash64("cid")
@@ -393,7 +412,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = connected_components(links, "a", "b").select(F.col("node").alias("cid"), "component")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = star.select(*ordered("a", "b"))
-    open_ = _still_open(buckets.select("key", "cid", "n", "top").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    open_ = _still_open(buckets.select("key", "cid", "n", "top").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")), percent)
     sets, merged = None, []
     for turn in range(ROUNDS + 1):
         if open_.isEmpty():
@@ -413,7 +432,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         edges = more.join(named.toDF("a", "u"), "a").join(named.toDF("b", "v"), "b").select("u", "v")
         step = stored(connected_components(edges, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("joined")))
         merged.append(step)
-        open_ = _still_open(open_.select("key", "cid", "n", "top", "component").join(step, "component", "left").withColumn("component", F.coalesce("joined", "component"))) if turn < ROUNDS else open_
+        open_ = _still_open(open_.select("key", "cid", "n", "top", "component").join(step, "component", "left").withColumn("component", F.coalesce("joined", "component")), percent) if turn < ROUNDS else open_
     found = members.where("n > 0").select("cid").distinct().join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     for step in merged:
         found = found.join(step, "component", "left").select("cid", F.coalesce("joined", "component").alias("component"))

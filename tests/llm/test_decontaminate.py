@@ -99,3 +99,24 @@ def test_longest_matches_are_those_of_a_plain_search(spark):
     d, b = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = {(r["item_start"], r["length"], r["doc_start"]) for r in D.longest_matches(d, b, 10).collect()}
     assert got == {(i, 30 - i, 100 + i) for i in range(21)} | {(31 + i, 16 - i, 200 + i) for i in range(7)}
+
+
+def test_repeated_items_are_one_and_blocks_are_made_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(D, "ITEM_BYTES", 300)
+    docs, items = _made()
+    made = []
+
+    class Counted(D.Items):
+        def __init__(self, ids, texts, window):
+            made.append(len(ids))
+            super().__init__(ids, texts, window)
+
+    b = spark.createDataFrame(items, "item_id long, text string")
+    repeated = b.union(spark.range(10_000).selectExpr("3L", "'same words over and over again'"))
+    monkeypatch.setattr(D, "Items", Counted)
+    n, blocks = D._blocks(repeated, 13)
+    assert n > 1 and not made
+    next(blocks)
+    assert len(made) == 1
+    list(blocks)
+    assert sum(made) == repeated.distinct().count()

@@ -114,3 +114,25 @@ def test_quality_of_odd_rows(spark):
     assert len(rows) == 5 and all(0 <= r["score"] <= 1 for r in rows)
     assert Q.quality_scores(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in Q.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_what_reaches_the_driver_is_bounded_where_a_document_is_repeated(spark, monkeypatch):
+    seen = []
+
+    class Seen(L.Net):
+        def fit(self, windows, targets):
+            seen.append(len(windows))
+
+    monkeypatch.setattr(L, "Net", Seen)
+    df = spark.range(10_000).selectExpr("1L as doc_id", "concat('the words of text ', id) as text", "'en' as lang").union(spark.range(50).selectExpr("id + 10", "concat('les mots ', id)", "'fr'"))
+    L.trained(df)
+    assert seen and seen[0] <= 2 * L.FIT_WINDOWS * 51
+
+
+def test_no_language_can_be_learned(spark):
+    df = spark.createDataFrame([(1, "some text", None, 1), (2, "1 2", None, 2), (3, None, None, 3), (4, "", None, 4)], "doc_id long, text string, lang string, score int")
+    assert [tuple(r) for r in L.in_language(df).collect()] == [(1, "some text", None, 1)]
+    assert {(r["lang_pred"], r["score"]) for r in L.languages(df).collect()} == {("und", 0.0)}
+    with pytest.raises(ValueError):
+        L.in_language(df, ["en"])
+    assert L.in_language(df.limit(0), ["en"]).count() == 0

@@ -70,3 +70,24 @@ def test_a_passage_within_other_text_is_cut_out_and_n_chars_follows(spark):
     rows = {r["doc_id"]: r for r in L.without_repeated_lines(df).collect()}
     assert rows[1]["text"] == a and rows[2]["text"] != b and rows[2]["n_chars"] == len(rows[2]["text"])
     assert {"b1", "b3"} <= set(rows[2]["text"].split("\n"))
+
+
+def test_texts_of_200_000_lines_and_a_hot_chunk(spark):
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        lines = [f"line {i * i % 1_000_003}" for i in range(n)]
+        docs = [(1, "\n".join(lines)), (2, "\n".join(["other", *lines[: n // 2], "in between", *lines[n // 2 :]])), *((i, "\n".join([*PASSAGE, f"own {i}", f"more {i}", f"last {i}"])) for i in range(10, 60))]
+        began = time.time()
+        got = {r["doc_id"]: r for r in L.line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect()}
+        took.append(time.time() - began)
+        assert got[1]["n_removed"] == 0 and got[1]["text"] == docs[0][1] and n - 20 < got[2]["n_removed"] <= n
+        assert got[2]["n_lines"] - got[2]["n_removed"] == len(got[2]["text"].split("\n")) and got[59]["n_removed"] > 3
+    assert took[1] < 8 * took[0] + 10
+
+
+def test_columns_that_have_no_hash(spark):
+    text = "\n".join(PASSAGE)
+    df = spark.createDataFrame([(1, text, {"a": 1}), (2, text, None)], "doc_id long, text string, facts map<string,int>")
+    assert [tuple(r) for r in L.without_repeated_lines(df).collect()] == [(1, text, {"a": 1})]

@@ -83,14 +83,21 @@ def test_run_applies_all_stages(spark, small_tables):
     assert spark_rows(got.select(columns)) == spark_rows(docs.select(columns)) and got.count()
 
 
-def test_no_documents(spark, small_tables, tmp_path):
-    import shutil
+def _tables(spark, small_tables, folder, docs):
+    """A folder with the tables that the pipeline reads, of its own."""
+    spark.read.parquet(f"{small_tables}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
 
-    shutil.copytree(small_tables, tmp_path / "t")
+def test_no_documents(spark, small_tables, tmp_path):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet")
-    (tmp_path / "t/documents.parquet").unlink()
-    docs.limit(0).write.parquet(str(tmp_path / "t/documents.parquet"))
-    assert C.run(spark, str(tmp_path / "t")).count() == 0
+    assert C.run(spark, _tables(spark, small_tables, tmp_path, docs.limit(0))).count() == 0
+
+
+def test_documents_without_lang_are_kept(spark, small_tables, tmp_path):
+    docs = spark.createDataFrame([(i, f"words of text {i} that stand alone here", None, None, None) for i in range(5)] + [(9, "12 34", None, None, None), (10, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in C.run(spark, _tables(spark, small_tables, tmp_path, docs)).collect()) == [0, 1, 2, 3, 4]
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
