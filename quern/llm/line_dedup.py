@@ -95,13 +95,15 @@ def _removals(docs: DataFrame) -> DataFrame:
         of.alias("of"),
         # of all columns: so that this step reads the same shuffle of the documents as the last one, and their texts are moved once
         F.xxhash64(*(x.name for x in docs.schema if "map<" not in x.dataType.simpleString() and x.dataType.simpleString() != "variant")).alias("row"),
-        F.explode(let(F.split(_whole(), "\n"), lambda x: F.transform(again, lambda c: F.struct(c.alias("code"), F.array_join(F.slice(x, _begin(c) + 1, _size(c)), "\n").alias("body"))))).alias("c"),
+        let(F.split(_whole(), "\n"), lambda x: F.transform(again, lambda c: F.struct(c.alias("code"), F.array_join(F.slice(x, _begin(c) + 1, _size(c)), "\n").alias("body")))).alias("all"),
     )
+    # in a step of its own: else the whole text would be read again for each chunk
+    bodies = bodies.select("of", "row", F.explode("all").alias("c"))
     # bytes are compared here: a chunk goes only where the same body stands before it
     firsts = bodies.groupBy("c.body").agg(F.min(F.struct("of", F.col("c.code").alias("code"))).alias("first"), F.max("row").alias("row")).where("row is not null")
     stays = firsts.groupBy(F.col("first.of.name").alias("__quern_key")).agg(F.collect_set("first.code").alias("__quern_first"))
     kept = marked.join(stays, F.col("__quern_name") == F.col("__quern_key"), "left").drop("__quern_key")
-    gone = F.array_sort(F.array_except(again, F.coalesce("__quern_first", F.array().cast("array<bigint>"))))
+    gone = F.sort_array(F.array_except(again, F.coalesce("__quern_first", F.array().cast("array<bigint>"))))
     return kept.withColumn("__quern_gone", F.when(again.isNotNull(), gone)).drop("__quern_again", "__quern_first")
 
 
