@@ -31,6 +31,13 @@ class Pairs:
         self.rank_at[full] = np.array(rank, np.int32)[slots[full]]
         self.merged_at = np.zeros(self.mask + 1, np.int32)
         self.merged_at[full] = np.array(merged, np.int32)[slots[full]]
+        # by rank: whether no symbol that it makes is in a pair of the same or a lower rank, so that all its places can merge in one round
+        lowest = np.full(width, NONE, np.int64)
+        for side in (left, right):
+            np.minimum.at(lowest, np.array(side, np.int64), np.array(rank, np.int64))
+        made = np.full(max(rank, default=0) + 1, NONE, np.int64)
+        np.minimum.at(made, np.array(rank, np.int64), lowest[np.array(merged, np.int64)])
+        self.alone = made > np.arange(len(made))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(40)).astype(np.int64) & self.mask
@@ -50,8 +57,9 @@ class Pairs:
 def merge_rounds(pairs: Pairs, sym: np.ndarray, size: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, symbol, size) of what survives in rows whose merging is over, as they get there.
 
-    Each round, every row applies its lowest-rank adjacent pair, the leftmost of
-    equals. `size` is summed over what merges.
+    Each round, every row applies its lowest-rank adjacent pair: the leftmost of
+    equals, and with it those to its right that would follow one by one, as what they
+    make is in pairs of higher rank only. `size` is summed over what merges.
     """
     row = np.repeat(np.arange(len(lengths)), lengths)
     live = np.flatnonzero(lengths)
@@ -74,7 +82,11 @@ def merge_rounds(pairs: Pairs, sym: np.ndarray, size: np.ndarray, lengths: np.nd
                 return
             first = np.searchsorted(row, live)
         lowest = np.flatnonzero(rank == np.repeat(best, np.diff(np.append(first, len(row)))))
-        at = lowest[np.concatenate(([True], row[lowest[1:]] != row[lowest[:-1]]))]
+        leftmost = np.concatenate(([True], row[lowest[1:]] != row[lowest[:-1]]))
+        # of pairs that overlap, every second one goes
+        run = np.concatenate(([True], lowest[1:] != lowest[:-1] + 1))
+        second = (np.arange(len(lowest)) - np.maximum.accumulate(np.where(run, np.arange(len(lowest)), 0))) & 1
+        at = lowest[leftmost | ((second == 0) & pairs.alone[rank[lowest]])]
         sym[at] = merged[at]
         size[at] += size[at + 1]
         keep = np.ones(len(sym), bool)

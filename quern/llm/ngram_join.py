@@ -413,12 +413,10 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = star.select(*ordered("a", "b"))
     open_ = _still_open(buckets.select("key", "cid", "n", "top").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")), percent)
-    sets, merged = None, []
+    merged = []
     for turn in range(ROUNDS + 1):
         if open_.isEmpty():
             break
-        if sets is None:
-            sets = stored(_sets(open_.select("cid").distinct(), docs, width))
         may = lambda x, y: reduce(lambda a, b: a & b, [F.col(f"{x}component") != F.col(f"{y}component"), fits(f"{x}n", f"{y}n"), F.col(f"{x}n") <= F.col(f"{y}top"), F.col(f"{y}n") <= F.col(f"{x}top")])
         if turn < ROUNDS:
             chosen = open_.groupBy("key").agg(F.min_by(F.struct("cid", "n", "top", "component"), F.xxhash64("key", "cid", F.lit(turn))).alias("p")).select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("cid", "n", "top", "component")))
@@ -426,7 +424,10 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         else:
             pairs = _open_pairs(open_, classes, percent, may).select(*ordered("x", "y"))
         rest = screened(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        more = stored(_verified(rest, sets, percent))
+        if rest.isEmpty():
+            continue
+        # sets are large: those of the few pairs that are left are made again, not kept
+        more = stored(_verified(rest, _sets(_ends(rest), docs, width), percent))
         tried = tried.union(rest.select("a", "b"))
         named = open_.select("cid", "component").distinct()
         edges = more.join(named.toDF("a", "u"), "a").join(named.toDF("b", "v"), "b").select("u", "v")

@@ -103,11 +103,11 @@ def _census(least: int):
 
 
 #: done: a passage that one of a smaller id, `other`, in its slice has, with all that can matter (`key`); the other columns are of suffixes that have to be compared.
-_SUFFIX = "done boolean, key long, head long, doc long, start long, end long, other long, near long, far long, place long, right binary, left binary"
+_SUFFIX = "done boolean, key long, head long, doc long, start long, end long, other long, near long, far long, place long, right binary, left binary, marks binary"
 
 
 def _suffixes(least: int, wanted, hot):
-    """Suffixes with a repeated head: their words to the right, and to the left from the nearest on, as 32-bit codes."""
+    """Suffixes with a repeated head: their words to the right, and to the left from the nearest on, as 32-bit codes, and 64-bit hashes of the stretches that chose them, by which matches are verified."""
     reach = least - HEAD
 
     def f(batches):
@@ -122,7 +122,9 @@ def _suffixes(least: int, wanted, hot):
             right = np.where(step < (last + least)[:, None], codes[np.minimum(step, len(h) - 1)], 0).astype(">u4")
             step = place[:, None] - 1 - np.arange(reach)
             left = np.where(step >= first[:, None], codes[np.maximum(step, 0)], 0).astype(">u4")
-            key = _text.mix(_runs_of(right) * _FACTOR + _runs_of(left))
+            whole = _runs(h, least)
+            sums = np.concatenate((np.zeros(1, _U), np.cumsum(_text.mix(whole + _U(1)))))
+            key = _text.mix((_runs_of(right) * _FACTOR + _runs_of(left)) ^ _text.mix(sums[last + 1] - sums[first]))
             order = np.lexsort((place, doc, key))
             key, d = key[order], doc[order]
             new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -137,13 +139,13 @@ def _suffixes(least: int, wanted, hot):
             none = pa.nulls(n, pa.int64())
             if n:
                 b = at[row[i]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(key[again]), none, pa.array(doc[i]), pa.array(first[i] - b), pa.array(last[i] - b + least), pa.array(low[again]), none, none, none, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _SUFFIX.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, bool)), pa.array(key[again]), none, pa.array(doc[i]), pa.array(first[i] - b), pa.array(last[i] - b + least), pa.array(low[again]), none, none, none, *[pa.nulls(n, pa.binary())] * 3], names=[x.split()[0] for x in _SUFFIX.split(", ")])
             i, twin, alone = order[~again], np.where(high != low, high, -1)[~again], (high == low)[~again]
             n = len(i)
             b = at[row[i]]
             none = pa.nulls(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(n, bool)), pa.array(key[~again], mask=alone), pa.array(head[i]), pa.array(doc[i]), none, none, pa.array(twin, mask=alone), pa.array(place[i] - last[i]), pa.array(place[i] - first[i]), pa.array(place[i] - b), pa.array([x.tobytes() for x in right[i]], pa.binary()), pa.array([x.tobytes() for x in left[i]], pa.binary())],
+                [pa.array(np.zeros(n, bool)), pa.array(key[~again], mask=alone), pa.array(head[i]), pa.array(doc[i]), none, none, pa.array(twin, mask=alone), pa.array(place[i] - last[i]), pa.array(place[i] - first[i]), pa.array(place[i] - b), pa.array([x.tobytes() for x in right[i]], pa.binary()), pa.array([x.tobytes() for x in left[i]], pa.binary()), pa.array([whole[a : b + 1].tobytes() for a, b in zip(first[i].tolist(), last[i].tolist(), strict=True)], pa.binary())],
                 names=[x.split()[0] for x in _SUFFIX.split(", ")],
             )
 
@@ -166,12 +168,17 @@ def _compared(least: int):
     """From suffixes in the order of head and right words: the passages that each shares with another document's."""
     reach = least - HEAD
 
-    def compare(key, head, doc, twin, near, far, place, right, left):
+    def compare(key, head, doc, twin, near, far, place, right, left, marks):
         n = len(head)
         same = np.concatenate(([0], (right[1:] == right[:-1]).cumprod(axis=1).sum(axis=1) * (head[1:] == head[:-1])))
         to_left = np.zeros((n, reach + 1), _U)
         for j in range(reach):
             to_left[:, j + 1] = to_left[:, j] * _FACTOR + left[:, j].astype(_U)
+        # the stretch that begins l words before the suffix, by l; marks begin with the farthest
+        whole = np.zeros((n, reach + 1), _U)
+        count = far - near + 1
+        of = np.repeat(np.arange(n), count)
+        whole[of, far[of] - (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))] = marks
         matched = np.zeros((n, reach + 1), bool)
         low, high = np.zeros((n, reach + 1), np.int64), np.zeros((n, reach + 1), np.int64)
         for l in range(reach + 1):
@@ -180,9 +187,10 @@ def _compared(least: int):
                 continue
             # suffixes that agree in least - l words to the right are a block of neighbours
             block = np.cumsum(same < least - l)[rows]
-            order = np.lexsort((to_left[rows, l], block))
-            b, t, r = block[order], to_left[rows, l][order], rows[order]
-            new = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (t[1:] != t[:-1]))))
+            order = np.lexsort((whole[rows, l], to_left[rows, l], block))
+            r = rows[order]
+            b, t, w = block[order], to_left[r, l], whole[r, l]
+            new = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (t[1:] != t[:-1]) | (w[1:] != w[:-1]))))
             size = np.diff(np.append(new, len(r)))
             least_doc, most_doc = np.minimum.reduceat(doc[r], new), np.maximum.reduceat(np.maximum(doc[r], twin[r]), new)
             low[r, l], high[r, l] = np.repeat(least_doc, size), np.repeat(most_doc, size)
@@ -205,7 +213,7 @@ def _compared(least: int):
         def ready(table: pa.Table) -> pa.RecordBatch:
             col = lambda x: table.column(x).to_numpy().astype(np.int64)
             codes = lambda x, k: np.frombuffer(b"".join(table.column(x).to_pylist()), ">u4").astype(np.uint32).reshape(-1, k)
-            return compare(table.column("key").combine_chunks(), col("head"), col("doc"), table.column("other").fill_null(-(1 << 62)).to_numpy().astype(np.int64), col("near"), col("far"), col("place"), codes("right", least), codes("left", reach))
+            return compare(table.column("key").combine_chunks(), col("head"), col("doc"), table.column("other").fill_null(-(1 << 62)).to_numpy().astype(np.int64), col("near"), col("far"), col("place"), codes("right", least), codes("left", reach), np.frombuffer(b"".join(table.column("marks").to_pylist()), _U))
 
         for batch in batches:
             if not batch.num_rows:
@@ -249,7 +257,7 @@ def shared_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     wanted = spark.sparkContext.broadcast(_bloom.build(heads, "head", FILTER_BITS))
     # bytes of both sides are stored once, as two steps read them
     rows = stored(read.mapInArrow(_suffixes(least, wanted, hot), _SUFFIX))
-    compared = rows.where("not done").select("key", "head", "doc", "other", "near", "far", "place", "right", "left").repartition("head").sortWithinPartitions("head", "right").mapInArrow(_compared(least), _SPAN)
+    compared = rows.where("not done").select("key", "head", "doc", "other", "near", "far", "place", "right", "left", "marks").repartition("head").sortWithinPartitions("head", "right").mapInArrow(_compared(least), _SPAN)
     # read twice
     compared = stored(compared)
     # the smallest document of a slice is not that of all: what it was found to share, its copies in the slice share as well

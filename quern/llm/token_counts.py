@@ -2,16 +2,16 @@
 
 For the piece vocabulary of a .model file. A batch's texts are cut into pre-tokens
 (a run of spaces and what follows up to the next space; no piece of the vocabulary
-has a space after another character, so no merge crosses such a cut). Each distinct
-pre-token is held as a row of a ragged array of symbols. In each round every row
-finds its lowest-rank adjacent pair, the leftmost of equals, and all rows apply
-theirs at once; rows without a pair leave. What survives is counted, a character
-that the vocabulary lacks as its bytes.
+has a space after another character, so no merge crosses such a cut), and these where
+two characters meet that stand side by side in no piece. What is left of each
+distinct pre-token is held as rows of a ragged array of symbols. In each round every
+row finds its lowest-rank adjacent pair, and all rows apply theirs at once; rows
+without a pair leave. What survives is counted, a character that the vocabulary lacks
+as its bytes.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._bpe import NONE, Pairs, merge_rounds
+from ._bpe import Pairs, merge_rounds
 from ._spark import slices
 
-#: Pre-tokens of more characters are merged one by one with a heap, in n log n steps instead of n rounds.
-LONG = 48
-#: Distinct pre-tokens merged at once.
-ROWS = 1 << 16
+#: Bytes of distinct pre-tokens merged at once, or one pre-token.
+BYTES = 1 << 20
 #: Distinct pre-tokens whose counts a worker keeps between batches, and the longest kept.
 KEPT, KEPT_BYTES = 1 << 19, 64
 _SPACE = "▁"
@@ -63,6 +61,8 @@ class Merges:
         self.code = np.full(0x110000, self.width - 1, np.int32)
         self.code[list(codes)] = list(codes.values())
         self.code[0x20] = self.code[ord(_SPACE)]
+        #: Pairs of characters that stand side by side in a piece.
+        self.beside = np.unique(np.array([0, *(self.number[a] * self.width + self.number[b] for p, _ in pieces for a, b in zip(p, p[1:], strict=False))], np.int64))
 
 
 def merges_of(path: str) -> Merges:
@@ -78,38 +78,6 @@ def _weights(m: Merges, symbols: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return np.where(symbols < m.known, 1, n_bytes)
 
 
-def _by_heap(m: Merges, text: str) -> int:
-    """The same count for one long pre-token."""
-    sym = m.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)].tolist()
-    size = [len(c.encode("utf-8", "surrogatepass")) for c in text]
-    n = len(sym)
-    before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-    pair: dict[tuple[int, int], tuple[int, int]] = {}
-
-    def look(a: int, b: int) -> tuple[int, int]:
-        if (a, b) not in pair:
-            r, x = m.pairs.find(np.array([a]), np.array([b]))
-            pair[a, b] = int(r[0]), int(x[0])
-        return pair[a, b]
-
-    heap = [(r, i, sym[i], sym[i + 1], x) for i in range(n - 1) for r, x in [look(sym[i], sym[i + 1])] if r < NONE]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b, x = heapq.heappop(heap)
-        j = after[i]
-        if not alive[i] or j >= n or sym[i] != a or sym[j] != b:
-            continue
-        sym[i], alive[j], after[i] = x, False, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        for u, v in ((before[i], i), (i, after[i])):
-            if u >= 0 and v < n:
-                r, y = look(sym[u], sym[v])
-                if r < NONE:
-                    heapq.heappush(heap, (r, u, sym[u], sym[v], y))
-    return sum(1 if s < m.known else k for s, k, on in zip(sym, size, alive, strict=True) if on)
-
-
 def merge_rows(m: Merges, symbols: np.ndarray, n_bytes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Tokens of each row of a ragged array of symbols."""
     out = np.zeros(len(lengths), np.int64)
@@ -121,17 +89,22 @@ def merge_rows(m: Merges, symbols: np.ndarray, n_bytes: np.ndarray, lengths: np.
 def _count_distinct(m: Merges, tokens: pa.Array) -> np.ndarray:
     """Tokens of each distinct pre-token (LargeBinary)."""
     out = np.zeros(len(tokens), np.int64)
-    for a in range(0, len(tokens), ROWS):
-        part = tokens.slice(a, ROWS)
-        texts = part.cast(pa.large_string())
-        n = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
-        short = np.flatnonzero(n <= LONG)
-        for k in np.flatnonzero(n > LONG):
-            out[a + k] = _by_heap(m, texts[int(k)].as_py())
-        if len(short):
-            points = np.frombuffer("".join(texts.take(pa.array(short)).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-            sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
-            out[a + short] = merge_rows(m, m.code[points.astype(np.int64)], sizes, n[short].astype(np.int64))
+    size = np.diff(np.frombuffer(tokens.buffers()[1], np.int64)[tokens.offset : tokens.offset + len(tokens) + 1])
+    for a, b in _text.row_groups(size, BYTES):
+        texts = tokens.slice(a, b - a).cast(pa.large_string())
+        n = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        symbols = m.code[points.astype(np.int64)]
+        cut = np.zeros(len(points) + 1, bool)
+        pair = symbols[:-1].astype(np.int64) * m.width + symbols[1:]
+        cut[1:-1] = m.beside[np.minimum(np.searchsorted(m.beside, pair), len(m.beside) - 1)] != pair
+        ends = np.cumsum(n)
+        cut[0] = cut[-1] = cut[ends] = True
+        rows = np.flatnonzero(cut)
+        counts = np.concatenate(([0], np.cumsum(merge_rows(m, symbols, sizes, np.diff(rows)))))
+        at = counts[np.searchsorted(rows, np.concatenate(([0], ends)))]
+        out[a:b] = np.diff(at)
     return out
 
 

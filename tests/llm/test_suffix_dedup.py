@@ -145,3 +145,23 @@ def test_copies_of_one_task_name_the_smallest_document_of_all(spark):
     docs = [(2, text), (100, "a"), (101, "b"), (5, text), (7, text), (8, text)]
     rows = S.repeated_passages(spark.createDataFrame(spark.sparkContext.parallelize(docs, 2), "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["other_id"], r["first"]) for r in rows} == {(2, 8, True), (5, 2, False), (7, 2, False), (8, 2, False)}
+
+
+@pytest.mark.parametrize("differ", [True, False])
+def test_words_of_one_code_are_told_apart(monkeypatch, differ):
+    import numpy as np
+    import pyarrow as pa
+
+    class Value:
+        def __init__(self, value):
+            self.value = value
+
+    h = np.random.default_rng(6).integers(0, 1 << 63, 70, dtype=np.uint64)
+    other = h.copy()
+    other[35] ^= np.uint64(differ)  # of the same upper 32 bits
+    monkeypatch.setattr(T, "words", lambda data, offsets, inside: (np.concatenate([h, other]), np.array([0, 70, 140])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["x", "y"])], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(S._suffixes(50, Value(np.full(1 << 16, 0xFFFFFFFF, np.uint32)), Value(np.zeros(0, np.int64)))([batch]))
+    rows = pa.concat_tables([rows.slice(i, 1) for i in range(rows.num_rows)])
+    found = [*S._compared(50)(rows.filter(pa.compute.invert(rows["done"])).sort_by([("head", "ascending"), ("right", "ascending")]).to_batches())]
+    assert rows.num_rows and (sum(b.num_rows for b in found) == 0 if differ else sum(rows["done"].to_pylist()) + sum(b.num_rows for b in found) > 0)

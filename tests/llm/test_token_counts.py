@@ -23,15 +23,23 @@ def _random(n, seed):
     return ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 60))) for _ in range(n)] + ["".join(rnd.choice(signs[:5]) for _ in range(rnd.randint(60, 400))) for _ in range(20)]
 
 
-@pytest.mark.parametrize("long", [0, 48, 10_000])
-def test_counts_are_the_librarys(library, monkeypatch, long):
-    monkeypatch.setattr(C, "LONG", long)
-    texts = [*ODD[: -1 if long == 10_000 else None], *_random(600, long)]
+@pytest.mark.parametrize("held", [1 << 20, 300])
+def test_counts_are_the_librarys(library, monkeypatch, held):
+    monkeypatch.setattr(C, "BYTES", held)
+    texts = [*ODD, *_random(600, held)]
     counter = C.Counter(C.merges_of(PATH))
     for part in (texts[:200], texts):
         assert counter.of_texts(*T.utf8(pa.array(part, pa.string()))).tolist() == [len(library.encode(t or "")) for t in part]
 
 
+def test_long_texts_without_spaces(library):
+    rnd = random.Random(3)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rnd.choice(signs) for _ in range(100_000)), "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(50_000)), "".join(rnd.choice(["的", "是", "在", "日", "本", "語", "の", "は"]) for _ in range(50_000)), "a" * 99_999, "".join(rnd.choice(["th", "e", "ing", "er", "s"]) for _ in range(60_000))]
+    counter = C.Counter(C.merges_of(PATH))
+    assert counter.of_texts(*T.utf8(pa.array(texts))).tolist() == [len(library.encode(t)) for t in texts]
+
+
 def test_kept_words_do_not_change_counts(library, monkeypatch):
     monkeypatch.setattr(C, "KEPT", 50)
     counter = C.Counter(C.merges_of(PATH))
