@@ -200,7 +200,7 @@ def trained(docs: DataFrame, fold: int = 2, parts: int = 4, per_language: int =
 def _scored(net) -> object:
     def f(batches: Iterator[pa.RecordBatch]):
         scorer = None
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             scorer = scorer or Scorer(net.value)
             yield batch, *scorer.texts(*_text.utf8(batch.column(batch.schema.get_field_index("text"))))
 
@@ -240,7 +240,7 @@ def in_language(docs: DataFrame, accepted: list[str] | None = None, min_score: f
             raise ValueError("no row has a lang to learn from")
 
         def with_letters(batches):
-            for batch in slices(batches, "text", 2 << 20):
+            for batch in slices(batches, "text", 1 << 20):
                 yield batch.filter(pa.array(Scorer.lettered(*_text.utf8(batch.column(batch.schema.get_field_index("text"))))))
 
         return docs.mapInArrow(with_letters, docs.schema)

@@ -50,7 +50,7 @@ FILTER_BITS = 1 << 26
 #: About so many tokens are compared with one set in a task.
 TOGETHER = 1 << 19
 #: Bytes of text, and tokens, that a task holds at once.
-TEXT, HELD = 1 << 21, 1 << 18
+TEXT, HELD = 1 << 20, 1 << 18
 #: Times that buckets are compared with members chosen by hash.
 ROUNDS = 1
 

@@ -28,7 +28,7 @@ from ._spark import slices, stored
 #: Pieces that are packed together.
 GROUP = 50_000
 #: Distinct words that a worker keeps the ids of, and the longest kept.
-KEPT, KEPT_BYTES = 1 << 19, 64
+KEPT, KEPT_BYTES = 1 << 17, 64
 #: Words of these letters and a run of these signs are cut and lower-cased here; the library does all others.
 _SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]{1,64})(?P<signs>[!-&(-/:;=?@\[-`{-~]{0,16})$"
 
@@ -147,7 +147,7 @@ def pieces(docs: DataFrame, config: str, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words.get(name) or _words.setdefault(name, Words(shared.value))
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = _text.utf8(batch.column(1))
             ids, at = words.of_texts(data, offsets)
             n = np.diff(at) + 1

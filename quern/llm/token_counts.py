@@ -27,7 +27,7 @@ from ._spark import slices
 #: Bytes of distinct pre-tokens merged at once, or one pre-token.
 BYTES = 1 << 20
 #: Distinct pre-tokens whose counts a worker keeps between batches, and the longest kept.
-KEPT, KEPT_BYTES = 1 << 19, 64
+KEPT, KEPT_BYTES = 1 << 17, 64
 _SPACE = "▁"
 
 
@@ -180,7 +180,7 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counters.setdefault(model_path, Counter(merges.value))
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             data, offsets = _text.utf8(batch.column(1))
             n = counter.of_texts(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
