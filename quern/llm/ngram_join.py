@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quern.operators.components import connected_components
 
 from . import _bloom, _text
-from ._spark import slices, stored
+from ._spark import done_with, slices, stored
 
 _U = np.uint64
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
@@ -400,11 +400,13 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # keys with the same members are one bucket: near copies share hundreds of keys, but few sets of members
     top = F.floor((100 + percent) * F.max("most") / percent) - F.max(size("rank"))
     buckets = stored(index.join(sets_of_key, "key").groupBy(F.col("set").alias("key"), "cid").agg(F.max(size("rank")).alias("n"), top.alias("top"), F.max("pivot").alias("pivot"), F.max("pivot_n").alias("pivot_n")))
-    classes = members.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("parity").alias("parity"))
+    done_with(index)
+    # used by each screen: stored, so that few pairs can be joined without another shuffle of it
+    classes = stored(members.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("parity").alias("parity")))
 
     def screened(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity"))
-        return stored(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(_may_link(percent, "a_parity", "b_parity", F.col("a_n") + F.col("b_n"))).select("a", "b", "b_n"))
+        return stored(stored(pairs.distinct()).join(side("a"), "a").join(side("b"), "b").where(_may_link(percent, "a_parity", "b_parity", F.col("a_n") + F.col("b_n"))).select("a", "b", "b_n"))
 
     fits = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
     star = screened(buckets.where("cid <> pivot").where(fits("pivot_n", "n")).select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
@@ -412,6 +414,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = connected_components(links, "a", "b").select(F.col("node").alias("cid"), "component")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = star.select(*ordered("a", "b"))
+    done_with()
     open_ = _still_open(buckets.select("key", "cid", "n", "top").join(found, "cid", "left").withColumn("component", F.coalesce("component", "cid")), percent)
     merged = []
     for turn in range(ROUNDS + 1):
@@ -423,6 +426,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
             pairs = open_.join(chosen, "key").where(may("", "p_")).select(*ordered("cid", "p_cid"))
         else:
             pairs = _open_pairs(open_, classes, percent, may).select(*ordered("x", "y"))
+        done_with()
         rest = screened(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         if rest.isEmpty():
             continue
