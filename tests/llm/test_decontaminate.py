@@ -102,18 +102,17 @@ def test_longest_matches_are_those_of_a_plain_search(spark):
 
 
 def test_repeated_items_are_one_and_blocks_are_made_one_at_a_time(spark, monkeypatch):
-    monkeypatch.setattr(D, "ITEM_BYTES", 300)
+    monkeypatch.setattr(D, "ITEM_BYTES", 60)
     docs, items = _made()
     made = []
 
-    class Counted(D.Items):
-        def __init__(self, ids, texts, window):
-            made.append(len(ids))
-            super().__init__(ids, texts, window)
+    def counted(self, ids, texts, window, real=D.Items.__init__):
+        made.append(len(ids))
+        real(self, ids, texts, window)
 
     b = spark.createDataFrame(items, "item_id long, text string")
     repeated = b.union(spark.range(10_000).selectExpr("3L", "'same words over and over again'"))
-    monkeypatch.setattr(D, "Items", Counted)
+    monkeypatch.setattr(D.Items, "__init__", counted)
     n, blocks = D._blocks(repeated, 13)
     assert n > 1 and not made
     next(blocks)
