@@ -458,6 +458,43 @@ def _with_sets(width: int):
     return f
 
 
+def _picked(first, second, inside: bool):
+    """The rows whose last column, a hash, is in both filters; with inside=False those not in the first, and those without a hash. The hash is left out."""
+
+    def f(batches):
+        for whole in batches:
+            for a in range(0, whole.num_rows, 512):
+                batch = whole.slice(a, 512)
+                h = batch.column(batch.num_columns - 1)
+                known = pc.is_valid(h).to_numpy(zero_copy_only=False)
+                hashes = pc.fill_null(h, 0).to_numpy(zero_copy_only=False)
+                hit = known & _bloom.has(first.value, hashes)
+                keep = hit & _bloom.has(second.value, hashes) if inside else ~hit
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep))
+
+    return f
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` but for those whose doc_id is `out` in `ids` (__quern_doc, out), which has each doc_id once.
+
+    A filter of the ids that are out lets most other rows through where they lie. Ids
+    that it takes for them by mistake are found among the ids alone and have a second
+    filter: only rows that pass both are joined with them.
+    """
+    share = docs.sparkSession.sparkContext.broadcast
+    h = F.xxhash64("__quern_doc").alias("h")
+    out = share(_bloom.build(ids.where("out").select(h), "h", FILTER_BITS))
+    mistaken = stored(ids.where("not out").select("__quern_doc", h).mapInArrow(_picked(out, out, True), "__quern_doc long"))
+    doubt = share(_bloom.build(mistaken.select(h), "h", FILTER_BITS // 64))
+    hashed = docs.withColumn("__quern_hash", F.expr("if(cast(doc_id as long) is null, null, xxhash64(cast(doc_id as long)))"))
+    sure = hashed.mapInArrow(_picked(out, doubt, False), docs.schema)
+    if mistaken.isEmpty():
+        return sure
+    return sure.unionByName(hashed.mapInArrow(_picked(out, doubt, True), docs.schema).join(mistaken, F.col("doc_id") == F.col("__quern_doc"), "left_semi"))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs`, all columns, that are the first of their component; see jaccard_components.
 
@@ -470,12 +507,12 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     found = stored(_components(docs, width, percent).where("doc_id is not null"))
     goes = F.coalesce(F.col("component_id") < F.col("doc_id"), F.lit(False))
     counted = stored(found.groupBy(F.col("doc_id").alias("__quern_doc")).agg(F.count("*").alias("rows"), F.max(goes).alias("goes")))
-    # only ids are shuffled twice; a text is moved once, if at all
+    # ids are shuffled, texts only of repeated ids and of the few that filters leave in doubt
     key = F.col("doc_id") == F.col("__quern_doc")
     again = counted.where("rows > 1").select("__quern_doc")
+    alone = _without(docs, counted.withColumn("out", F.expr("goes or rows > 1")))
     if again.isEmpty():
-        return docs.join(counted.where("goes").select("__quern_doc"), key, "left_anti")
-    alone = docs.join(counted.where("goes or rows > 1").select("__quern_doc"), key, "left_anti")
+        return alone
     # of the sets that a doc_id has in its component, the least; of rows with that set, and of empty texts, the least by hash and bytes
     sets = found.where(~goes & (F.col("n_shingles") > 0)).groupBy("doc_id", "component").agg(F.min("cid").alias("__quern_set")).select(F.col("doc_id").alias("__quern_doc"), "__quern_set")
     text = F.col("text").cast("string")

@@ -155,6 +155,20 @@ def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
     assert {x for x in got if not x[1]} == {(7, ""), (7, None)} and len(got) == 6
 
 
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 11])
+def test_rows_that_filters_leave_in_doubt_are_told_apart(spark, monkeypatch, bits):
+    monkeypatch.setattr(N, "FILTER_BITS", bits)
+    docs = [(i, f"text {i}") for i in range(3000)] + [(None, "no id"), (7, "again")]
+    df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id int, text string, out string").repartition(5)
+    ids = spark.range(3000).selectExpr("id as __quern_doc", "id % 3 = 0 as out")
+    kept = N._without(df, ids)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted((x for x in docs if x[0] is None or x[0] % 3), key=repr)
+    assert N._without(df, ids.withColumn("out", ids["out"] & False)).count() == len(docs) and N._without(df.limit(0), ids.limit(0)).count() == 0
+    plan = N._without(df, ids)._jdf.queryExecution().executedPlan().toString()
+    assert ("Join" in plan) == (bits < 1 << 26)
+
+
 def test_tables_against_all_pairs(spark, small_tables):
     docs = spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text")
     assert _rows(N.jaccard_components(docs)) == brute([tuple(r) for r in docs.collect()])
