@@ -8,8 +8,8 @@ exact inner product. How large the share has to be is measured on the sample tha
 the centroids are fitted to.
 
 Entries are dealt into shards of about SHARD rows by cell (a cell with more rows is
-dealt into several), queries into blocks; each shard meets each block that visits it
-once, and gives the best of every query.
+dealt into several). A shard meets the queries that visit it, in blocks of about
+QUERY_BLOCK where there are more, and gives the best of every query.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ CENTROIDS = 64
 TARGET = 0.96
 #: Entries that a walk meets at least, whatever the share.
 LEAST = 100
-SHARD, QUERY_BLOCK, AT_ONCE = 20_000, 1024, 512
+SHARD, QUERY_BLOCK, AT_ONCE = 20_000, 4096, 512
+#: Queries whose walks are made in one task.
+WALKS = 256
 
 
 def _means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -197,10 +199,14 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, target: float =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(seen, pa.binary()), pa.array(met, pa.list_(pa.int32()))], names=["query_id", "v", "seen", "shards"])
 
     index_size = index.k**2
-    asked = placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    queries = asked.mapInArrow(visits, "query_id long, v binary, seen binary, shards array<int>").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode("shards")).drop("shards")
-    entries = placed.mapInArrow(deal, "vec_id long, v binary, cell int, shard int").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = stored(placed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
+    # few bytes a query, but much work: dealt out by number
+    walked = stored(asked.repartition(max(1, -(-asked.count() // WALKS))).mapInArrow(visits, "query_id long, v binary, seen binary, shards array<int>"))
+    visiting = walked.withColumn("shard", F.explode("shards")).drop("shards")
+    # only the entries of a shard that more than QUERY_BLOCK queries visit are copied, and only as often as those fill blocks
+    load = walked.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    queries = visiting.join(load, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
+    entries = placed.mapInArrow(deal, "vec_id long, v binary, cell int, shard int").join(load, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
