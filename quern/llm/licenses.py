@@ -1,16 +1,18 @@
 """Licence scans by a positional index of rare words, with DataFrame functions only.
 
-Each template is a phrase with a part that must stand word for word. Its rarest
-mandatory word by inverse document frequency over all documents is looked up; every
-place of that word in a file sets one relative position of template and file, along
-which the other words are intersected and the mandatory part is verified. A file
-without any of these words is passed over.
+Each template is a phrase with a part that must stand word for word. An index has, for
+each mandatory word, its rank by inverse document frequency over all documents and its
+postings: the templates that ask for it, and where. A file's licence words are looked
+up there; each template all of whose mandatory words the file has is entered by the
+rarest of them in the file. Every place of that word sets one relative position of
+template and file, along which the other words are intersected and the mandatory part
+is verified. Index and templates are two constants of the plan, which is the same for
+ten templates and for hundreds.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -61,12 +63,60 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(plain, F.lit(""))), _GAPS), "")
 
 
+def _constant(value: object, kind: str) -> Column:
+    """A value of any size as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def document_frequencies(docs: DataFrame, words: list[str]) -> dict[str, int]:
     """In how many documents each of a fixed list of words stands; one row a word comes to the driver."""
-    found = docs.select(F.explode(F.array_intersect(_words(F.col("text").cast("string")), F.array(*map(F.lit, words)))).alias("word"))
+    found = docs.select(F.explode(F.array_intersect(_words(F.col("text").cast("string")), _constant(words, "array<string>"))).alias("word"))
     return {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
+_INDEX = "map<string,struct<rank:int,postings:array<struct<t:int,at:int,needs:int>>>>"
+_TEMPLATES = "array<struct<label:string,base:boolean,words:array<string>,key:array<string>,key_at:int,least:double>>"
+
+
+def _index(templates: tuple[Template, ...], frequency: dict[str, int]) -> dict[str, dict]:
+    """By mandatory word: its rank, 0 for the rarest, and for each template that asks for it the first place in its words and how many different words are mandatory there."""
+    postings: dict[str, list[dict]] = {}
+    for t, (_, words, (a, n), _) in enumerate(templates):
+        key = words[a : a + n]
+        for w in sorted(set(key)):
+            postings.setdefault(w, []).append({"t": t, "at": a + key.index(w), "needs": len(set(key))})
+    # the least frequent word has the highest inverse document frequency
+    order = sorted(postings, key=lambda w: (frequency.get(w, 0), w))
+    return {w: {"rank": r, "postings": postings[w]} for r, w in enumerate(order)}
+
+
+def _entered(words: Column, index: Column, vocabulary: Column) -> Column:
+    """Array of (t, rank, at, needs, word): the templates all of whose mandatory words the file has, each with the rarest of these."""
+    postings = F.flatten(F.transform(F.array_intersect(words, vocabulary), lambda w: let(F.element_at(index, w), lambda e: F.transform(e["postings"], lambda p: F.struct(p["t"].alias("t"), e["rank"].alias("rank"), p["at"].alias("at"), p["needs"].alias("needs"), w.alias("word"))))))
+    # by template, then rank: the first of a template's postings is the rarest, and the last that it needs has to be its own
+    first = lambda x, e, i: (i == 0) | (F.get(x, i - 1)["t"] != e["t"])
+    whole = lambda x, e, i: F.get(x, i + e["needs"] - 1)["t"] == e["t"]
+    return let(F.array_sort(postings), lambda x: F.filter(x, lambda e, i: first(x, e, i) & F.coalesce(whole(x, e, i), F.lit(False))))
+
+
+def _places(words: Column, entered: Column, templates: Column) -> Column:
+    """Array of (label, word, part, base): where the entered templates stand."""
+    anchors = F.transform(entered, lambda e: e["word"])
+    anchored = let(anchors, lambda a: F.filter(F.transform(words, lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda p: F.array_contains(a, p["word"])))
+
+    def in_place(part: Column, start: Column) -> Column:
+        """How many words of a part stand in the file from `start` on, each in its place."""
+        return F.size(F.filter(part, lambda w, j: F.coalesce(F.get(words, start + j) == w, F.lit(False))))
+
+    def of(e: Column, t: Column, places: Column) -> Column:
+        starts = F.transform(F.filter(places, lambda p: p["word"] == e["word"]), lambda p: p["at"] - e["at"])
+        keyed = F.filter(starts, lambda s: in_place(t["key"], s + t["key_at"]) == F.size(t["key"]))
+        found = F.transform(keyed, lambda s: F.struct(t["label"].alias("label"), s.cast("long").alias("word"), (in_place(t["words"], s) / F.size(t["words"])).cast("double").alias("part"), t["base"].alias("base")))
+        return F.filter(found, lambda p: p["part"] >= t["least"])
+
+    return let(anchored, lambda places: F.flatten(F.transform(entered, lambda e: let(F.get(templates, e["t"]), lambda t: of(e, t, places)))))
+
+
 def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, places) for each row of `docs` (doc_id and text are read; other columns are left alone).
 
@@ -78,36 +128,15 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
     (label, word, part) of all that is found. Null and empty texts have no words. Null
     doc_ids and repeated rows are each scanned; an empty table gives no rows.
     """
-    vocabulary = sorted({w for t in templates for w in t.words})
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    frequency = document_frequencies(read, vocabulary)
-    total = max(1, sum(frequency.values()))
-    idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) for w in vocabulary}
-    # the rarest word of the mandatory part: any match has it
-    rare = {t: max(range(t.key[0], t.key[0] + t.key[1]), key=lambda j, t=t: (idf[t.words[j]], -j)) for t in templates}
-    anchors = sorted({t.words[j] for t, j in rare.items()})
-
-    def places(words: Column, postings: Column) -> Column:
-        """Array of (label, word, part) over all templates."""
-
-        def of(t: Template) -> Column:
-            anchor = rare[t]
-            here = lambda s, j: F.coalesce(F.get(words, s + j) == t.words[j], F.lit(False))
-            keyed = lambda s: reduce(lambda a, b: a & b, (here(s, j) for j in range(t.key[0], t.key[0] + t.key[1])))
-            hits = lambda s: reduce(lambda a, b: a + b, (here(s, j).cast("int") for j in range(len(t.words))))
-            starts = F.transform(F.filter(postings, lambda p: p["word"] == t.words[anchor]), lambda p: p["at"] - anchor)
-            at = F.filter(F.transform(F.filter(starts, keyed), lambda s: F.struct(F.lit(t.label).alias("label"), s.cast("long").alias("word"), (hits(s) / len(t.words)).cast("double").alias("part"))), lambda p: p["part"] >= (1.0 if t.base else NEAR))
-            return F.coalesce(at, F.array())
-
-        return F.concat(*map(of, templates))
-
-    none = F.array().cast("array<struct<label:string,word:long,part:double>>")
-    anchored = F.array(*map(F.lit, anchors))
-    postings = lambda w: F.filter(F.transform(w, lambda x, i: F.struct(i.alias("at"), x.alias("word"))), lambda p: F.array_contains(anchored, p["word"]))
+    vocabulary = sorted({w for t in templates for w in t.words[t.key[0] : sum(t.key)]})
+    index = _index(templates, document_frequencies(read, vocabulary))
+    whole = _constant([{"label": t.label, "base": t.base, "words": t.words, "key": t.words[t.key[0] : sum(t.key)], "key_at": t.key[0], "least": 1.0 if t.base else NEAR} for t in templates], _TEMPLATES)
     worded = read.select("doc_id", _words(F.col("text")).alias("words"))
-    found = worded.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", anchored), let(postings(F.col("words")), lambda p: places(F.col("words"), p))).otherwise(none).alias("places"))
-    base = [t.label for t in templates if t.base]
-    of_base = F.filter("places", lambda p: p["label"].isin(base))
+    entered = worded.select("doc_id", "words", _entered(F.col("words"), _constant(index, _INDEX), _constant(vocabulary, "array<string>")).alias("entered"))
+    none = F.array().cast("array<struct<label:string,word:long,part:double,base:boolean>>")
+    found = entered.select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.size("entered") > 0, _places(F.col("words"), F.col("entered"), whole)).otherwise(none).alias("places"))
+    of_base = F.filter("places", lambda p: p["base"])
     starts = F.transform(of_base, lambda p: p["word"])
     names = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda p: p["label"]))), ",")
     return found.select(
@@ -119,7 +148,7 @@ def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
         names(of_base).alias("base_labels"),
         names(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda p: p["part"])), F.lit(0.0)).alias("score"),
-        "places",
+        F.transform("places", lambda p: F.struct(p["label"].alias("label"), p["word"].alias("word"), p["part"].alias("part"))).alias("places"),
     )
 
 

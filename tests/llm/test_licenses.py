@@ -1,3 +1,4 @@
+import random
 import re
 
 import pandas as pd
@@ -60,3 +61,42 @@ def test_whole_tables_against_a_plain_search(spark, tables):
 def test_nulls_repeats_clashing_columns_and_no_rows(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, words string")
     assert [(r["n_base"], r["score"]) for r in L.license_scan(df).collect()] == [(1, 1.0)] * len(rows)
+
+
+def _many(n):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    made = []
+    for i in range(n):
+        w = tuple(rnd.choices(words, k=rnd.randrange(3, 400)))
+        a = rnd.randrange(len(w) - 2)
+        made.append(L.Template(f"made-{i}", w, (a, rnd.randrange(1, min(12, len(w) - a) + 1)), i % 7 == 0))
+    return (*L.TEMPLATES, *made)
+
+
+def test_hundreds_of_whole_licence_texts(spark):
+    rnd = random.Random(6)
+    templates = _many(600)
+    texts = []
+    for t in rnd.sample(templates, 60):
+        w = list(t.words)
+        # some words changed, the start cut off, or the text set among others
+        for j in rnd.sample(range(len(w)), len(w) // rnd.choice([5, 8, 1000])):
+            w[j] = "other"
+        texts.append(" ".join([*["before"] * rnd.randrange(3), *w[rnd.choice([0, 0, 1, 2]) :], *rnd.choice([[], w, ["after"]])]))
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    got = L.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).drop("places")
+    rows = spark_rows(got)
+    assert rows == duck_rows(L.sql(templates), frames={"documents": frame}) and sum(bool(r[3]) for r in rows) > 20
+
+
+def test_the_plan_does_not_grow_with_the_templates(spark):
+    docs = spark.createDataFrame([(1, "cc by")], "doc_id long, text string")
+
+    def nodes(templates):
+        plan = L.license_scan(docs, templates)._jdf.queryExecution().optimizedPlan()
+        # constants are folded: one literal each, whatever it holds
+        assert "from_json" not in plan.toString()
+        return plan.numberedTreeString().count("\n"), len(re.findall(r"lambda[a-z ]*function", re.sub(r"\[[^\[\]]{2000,}\]", "", plan.toString())))
+
+    assert nodes(L.TEMPLATES) == nodes(_many(600))
