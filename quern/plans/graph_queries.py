@@ -28,16 +28,19 @@ def supplier_part_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_trade_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of one nation hang together: a forest of stars with known components. Suppliers are not read."""
-    customers = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("u"), (F.col("c_custkey") + 1000).alias("v"))
-    return connected_components(customers, "u", "v")
+    """Customers and the suppliers of their own nation from whom they bought: components of both, customers by key, suppliers by -1 - key."""
+    orders = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    bought = _table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    home = bought.join(_table(spark, sf_dir, "supplier"), (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
+    edges = home.select(F.col("c_custkey").alias("u"), (-1 - F.col("s_suppkey")).alias("v")).distinct()
+    return connected_components(edges, "u", "v")
 
 
 def customer_order_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts within two steps of the customers of nation 0: customer to order, order to part."""
+    """Parts within two steps of each customer: customer to order, order to part."""
     orders = _table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("s"), F.concat(F.lit("o"), "o_orderkey").alias("d"))
     lines = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("d"))
-    starts = _table(spark, sf_dir, "customer").where("c_nationkey = 0").select(F.concat(F.lit("c"), "c_custkey").alias("start"))
+    starts = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("start"))
     return k_hop(orders.union(lines), "s", "d", starts, 2)
 
 
@@ -68,11 +71,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'left' AS side, l AS node, count(*) AS degree FROM edges GROUP BY l
             UNION ALL SELECT 'right', r, count(*) FROM edges GROUP BY r""",
         "nation_trade_components": """
-            WITH e AS (SELECT c_nationkey::BIGINT AS u, c_custkey + 1000 AS v FROM customer)
-            SELECT u AS node, u AS component FROM e GROUP BY u
-            UNION ALL SELECT v, u FROM e""",
+            WITH RECURSIVE e AS (
+                SELECT DISTINCT c_custkey AS u, -1 - s_suppkey AS v
+                FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+                JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey),
+            both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+            reach AS (SELECT u AS node, u AS other FROM both_ways UNION SELECT reach.node, v FROM reach JOIN both_ways ON other = u)
+            SELECT node, min(other) AS component FROM reach GROUP BY node""",
         "customer_order_hops": """
-            WITH starts AS (SELECT c_custkey FROM customer WHERE c_nationkey = 0),
+            WITH starts AS (SELECT c_custkey FROM customer),
             o AS (SELECT c_custkey, o_orderkey FROM starts JOIN orders ON o_custkey = c_custkey)
             SELECT 'c' || c_custkey AS start, 'c' || c_custkey AS node, 0 AS depth FROM starts
             UNION ALL SELECT 'c' || c_custkey, 'o' || o_orderkey, 1 FROM o
