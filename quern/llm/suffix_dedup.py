@@ -29,10 +29,10 @@ from ._spark import slices, stored
 _U = np.uint64
 #: Words of a head.
 HEAD = 20
-#: Bits of the filter for heads that repeat.
+#: Bits of each filter, of heads that repeat and of those with more than HOT places.
 FILTER_BITS = 1 << 26
-#: Heads with more places are counted by stretches; so are, at most, HOT_HEADS of all.
-HOT, HOT_HEADS = 200_000, 1 << 14
+#: Heads with more places are counted by stretches.
+HOT = 200_000
 #: Suffixes that are compared at once.
 ROWS = 16_384
 _FACTOR = _U(0x9E3779B97F4A7C15 | 1)
@@ -106,13 +106,18 @@ def _census(least: int):
 _SUFFIX = "done boolean, key long, head long, doc long, start long, end long, other long, near long, far long, place long, right binary, left binary, marks binary"
 
 
+def _hot(head: np.ndarray, hot) -> np.ndarray:
+    """Which heads have too many places to be sorted in one task, by a filter: it may name others, whose stretches then are counted too, to the same result."""
+    return np.zeros(len(head), bool) if hot is None else _bloom.has(hot.value, head)
+
+
 def _suffixes(least: int, wanted, hot):
     """Suffixes with a repeated head: their words to the right, and to the left from the nearest on, as 32-bit codes, and 64-bit hashes of the stretches that chose them, by which matches are verified."""
     reach = least - HEAD
 
     def f(batches):
         for h, at, doc, row, head, place, first, last in _texts(batches, least):
-            use = np.flatnonzero(_bloom.has(wanted.value, head) & ~np.isin(head, hot.value))
+            use = np.flatnonzero(_bloom.has(wanted.value, head) & ~_hot(head, hot))
             if not len(use):
                 continue
             doc, row, head, place, first, last = (x[use] for x in (doc, row, head, place, first, last))
@@ -236,7 +241,7 @@ def _compared(least: int):
 def _hot_stretches(least: int, hot):
     def f(batches):
         for h, at, doc, row, head, _, first, last in _texts(batches, least):
-            use = np.flatnonzero(np.isin(head, hot.value))
+            use = np.flatnonzero(_hot(head, hot))
             if len(use):
                 n = (last - first + 1)[use]
                 start = np.repeat(first[use] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
@@ -250,10 +255,9 @@ def shared_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     spark = docs.sparkSession
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heads = stored(read.mapInArrow(_census(least), "head long, low long, high long, n long").groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low <> high").select("head", "n"))
-    total = heads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # no more than HOT_HEADS heads can each have more than one in HOT_HEADS of all places
-    hot_heads = [r["head"] for r in heads.where(F.col("n") > max(HOT, total // HOT_HEADS)).select("head").collect()]
-    hot = spark.sparkContext.broadcast(np.array(sorted(hot_heads), np.int64))
+    many = heads.where(F.col("n") > HOT)
+    # of fixed size, however many such heads there are
+    hot = None if many.isEmpty() else spark.sparkContext.broadcast(_bloom.build(many, "head", FILTER_BITS))
     wanted = spark.sparkContext.broadcast(_bloom.build(heads, "head", FILTER_BITS))
     # bytes of both sides are stored once, as two steps read them
     rows = stored(read.mapInArrow(_suffixes(least, wanted, hot), _SUFFIX))
@@ -264,7 +268,7 @@ def shared_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     least_of = compared.where("key is not null").groupBy(F.col("key"), F.col("doc").alias("other")).agg(F.min(F.when(F.col("first"), F.col("doc")).otherwise(F.col("other"))).alias("low"))
     done = rows.where("done").select("key", "doc", "start", "end", "other").join(least_of.hint("merge"), ["key", "other"], "left").select("doc", "start", "end", F.coalesce("low", "other").alias("other"), F.lit(False).alias("first"))
     spans = done.unionByName(compared.drop("key"))
-    if hot_heads:
+    if hot is not None:
         stretches = read.mapInArrow(_hot_stretches(least, hot), "stretch long, doc long, start long")
         ends = stretches.groupBy("stretch").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
         own = F.col("doc") == F.col("low")
