@@ -1,0 +1,75 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from compare import duck_rows, spark_rows
+
+from quern.llm import registry
+from quern.llm.resampling import ranked, resampled
+
+
+def _features(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    return len(w), [zlib.crc32(" ".join(w[i : i + k]).encode()) % 10000 for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+
+
+def plainly(docs, target):
+    """Rows (doc_id, n_features, weight, score, rank) as the contract says them."""
+    source = [(i, *_features(x)) for i, x in docs]
+    s = Counter(b for *_, f in source for b in f)
+    t = Counter(b for x in target for b in _features(x)[1])
+    ss, tt = sum(s.values()), sum(t.values())
+    gain = {b: math.floor(1000 * math.log((t[b] + 1.0) * (ss + 10000.0) / ((s[b] + 1.0) * (tt + 10000.0)))) for b in s}
+    rows = []
+    for i, n, f in source:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        rows.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n >= 20, None])
+    able = sorted((r for r in rows if r[4]), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1]))
+    for place, r in enumerate(able[: 5 * len(able) // 100], 1):
+        r[5] = place
+    return sorted(((r[0], r[1], r[2], r[3], r[5]) for r in rows), key=repr)
+
+
+def _rows(df):
+    return sorted(((r["doc_id"], r["n_features"], r["weight"], r["score"], r["rank"]) for r in df.collect()), key=repr)
+
+
+def test_query_equals_its_sql(spark, tables):
+    got = spark_rows(registry.queries()["op11_importance_resampling"](spark, tables))
+    assert got == duck_rows(registry.oracle_sql()["op11_importance_resampling"], tables) and len(got) == 1000
+
+
+def test_equals_a_plain_version_on_odd_rows(spark):
+    rnd = random.Random(11)
+    names = ["alpha", "Beta", "ÉTÉ", "été", "straße", "x1", "KelvinK", "İ", "日本", "42"]
+    docs = [(i, rnd.choice([" ", ", ", "\n", "\x7f"]).join(rnd.choice(names) for _ in range(rnd.choice([0, 1, 2, 3, 19, 20, 40, 300])))) for i in range(200)]
+    docs += [(None, "alpha beta " * 20), (None, "alpha beta " * 20), (7, docs[7][1]), (7, "alpha " * 25), (500, None), (501, ""), (502, " .,"), (503, "long " * 30000)]
+    target = ["alpha x1 42", "été Beta straße", None, ""]
+    # columns that the plan names itself
+    df = spark.createDataFrame([(*d, "r", 1, "w") for d in docs], "doc_id long, text string, row string, bucket int, w string").repartition(5)
+    aim = spark.createDataFrame([(i, x) for i, x in enumerate(target)], "item_id long, text string")
+    got = _rows(resampled(df, aim))
+    assert got == plainly(docs, target)
+    assert sum(r[4] is not None for r in got) == 5 * sum(_features(x)[0] >= 20 for _, x in docs) // 100 > 0
+
+
+@pytest.mark.parametrize("docs, target", [([], ["a b"]), ([(1, "a b " * 20)] * 40, []), ([(3, "a " * 30), (2, "a " * 30), (1, "a")] * 20, ["a"]), ([(1, None)], [None])])
+def test_empty_tables_and_repeated_rows(spark, docs, target):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    aim = spark.createDataFrame([(x,) for x in target], "text string")
+    assert _rows(resampled(df, aim)) == plainly(docs, target)
+
+
+def test_places_are_gapless_over_partitions_and_ties(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).select((F.col("id") % 7).alias("x"), "id")
+    got = ranked(df, [F.desc("x"), F.asc("id")]).orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 3001))
+    assert [(r["x"], r["id"]) for r in got] == sorted(((i % 7, i) for i in range(3000)), key=lambda r: (-r[0], r[1]))
