@@ -85,6 +85,12 @@ def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,10 +98,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op6_suffix_array_dedup, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id, op11_importance_resampling, op12_exact_topk, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op6_suffix_array_dedup, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id, op11_importance_resampling, op12_exact_topk, op13_phrase_collocations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, line_dedup, plain_sql, resampling, topk
+    from . import collocations, licenses, line_dedup, plain_sql, resampling, topk
 
-    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql(), "op3_benchmark_decontamination": plain_sql.CONTAMINATION, "op6_suffix_array_dedup": plain_sql.PASSAGES, "op9_ngram_jaccard_join": plain_sql.JACCARD, "op11_importance_resampling": resampling.SQL, "op12_exact_topk": topk.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql(), "op3_benchmark_decontamination": plain_sql.CONTAMINATION, "op6_suffix_array_dedup": plain_sql.PASSAGES, "op9_ngram_jaccard_join": plain_sql.JACCARD, "op11_importance_resampling": resampling.SQL, "op12_exact_topk": topk.SQL, "op13_phrase_collocations": collocations.SQL}
