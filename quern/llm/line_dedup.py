@@ -4,8 +4,9 @@ A rolling hash over the hashes of two neighbouring lines is taken at each line;
 chunk ends where it is a local minimum. Whether a line ends a chunk depends on the
 lines around it alone, so a passage that two documents share is cut alike in both,
 wherever it stands; and two ends are never neighbours, so no chunk is shorter than
-two lines, unless its document is. A run of equal lines has equal rolling hashes: no
-chunk ends within it but at its start, so it is one chunk with the lines around it.
+two lines, unless its document is. A run of equal lines has equal rolling hashes, none
+of which is a minimum: there every second line ends a chunk, counted from the start of
+the run, so that runs of different length have most of their chunks in common.
 
 First only hashes of chunks are shuffled. The bodies of those whose hash repeats are
 then grouped by their bytes, and the first of each group stays.
@@ -40,7 +41,15 @@ def _ends(lines: Column) -> Column:
     hashes = F.transform(lines, lambda x: _digest(x, 8))
     rolled = lambda h: F.transform(h, lambda x, i: (F.coalesce(F.get(h, i - 1), F.lit(0)) * _FACTOR + x) % _PRIME)
     least = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == F.size(r) - 1) | ((i >= 1) & (i <= F.size(r) - 3) & (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1))))
-    return F.when(last < 3, F.array(last)).otherwise(let(hashes, lambda h: let(rolled(h), least)))
+
+    def of_runs(r: Column, starts: Column) -> Column:
+        """Every second line of each run of equal rolling hashes, from its third on, but for its last one."""
+        stop = lambda k: F.least(F.coalesce(F.get(starts, k + 1), F.size(r)) - 2, F.size(r) - 3)
+        return F.flatten(F.transform(starts, lambda t, k: F.when(stop(k) >= t + 2, F.sequence(t + 2, stop(k), F.lit(2))).otherwise(F.array().cast("array<int>"))))
+
+    starts = lambda r: F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: (i == 0) | (F.get(r, i) != F.get(r, i - 1)))
+    both = lambda r: let(starts(r), lambda s: F.when(F.size(s) > F.size(r) - 3, least(r)).otherwise(F.array_sort(F.concat(least(r), of_runs(r, s)))))
+    return F.when(last < 3, F.array(last)).otherwise(let(hashes, lambda h: let(rolled(h), both)))
 
 
 def _code(begin: Column, size: Column) -> Column:
@@ -152,9 +161,12 @@ WITH l AS (
     FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
 h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM l),
 r AS (SELECT *, (31 * coalesce(lag(h) OVER w, 0) + h) % 4294967291 AS r FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-e AS (SELECT *, CASE WHEN i = n - 1 THEN 1 WHEN n < 4 THEN 0
-             WHEN i >= 1 AND i <= n - 3 AND r < lag(r) OVER w AND r <= lead(r) OVER w THEN 1 ELSE 0 END AS ends
-      FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN r = lag(r) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM r)),
+j AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) - 1 AS j FROM f),
+e AS (SELECT *, CASE WHEN i = n - 1 THEN 1 WHEN n < 4 OR i > n - 3 THEN 0
+             WHEN i >= 1 AND r < lag(r) OVER w AND r <= lead(r) OVER w THEN 1
+             WHEN j >= 2 AND j % 2 = 0 AND r = lead(r) OVER w THEN 1 ELSE 0 END AS ends
+      FROM j WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY i) - ends AS no FROM e),
 b AS (SELECT doc_id, no, count(*) AS size, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, no),
 k AS (SELECT *, size > 1 AND row_number() OVER (PARTITION BY body, size > 1 ORDER BY doc_id NULLS FIRST, no) > 1 AS gone FROM b)

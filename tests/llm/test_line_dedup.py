@@ -50,6 +50,17 @@ def test_boundaries_do_not_shift(spark):
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] > 30
 
 
+def test_runs_of_equal_lines_of_any_length_are_mostly_removed(spark):
+    around = lambda k: [f"{k} own {i}" for i in range(3)]
+    docs = [(k, "\n".join([*around(k), *["same"] * n, *around(-k)])) for k, n in enumerate((50, 60, 3, 4, 5, 6, 7, 8, 9, 200), 1)]
+    docs += [(20 + k, "\n".join(["x"] * k)) for k in range(12)] + [(40, "\n".join(["a", "b"] * 30)), (41, "\n".join(["a"] * 9 + ["b"] * 9 + ["a"] * 9))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = spark_rows(L.line_dedup(df))
+    assert rows == duck_rows(L.SQL, frames={"documents": pd.DataFrame(docs, columns=["doc_id", "text"])})
+    got = {r["doc_id"]: r for r in L.line_dedup(df).collect()}
+    assert [got[k]["n_removed"] for k in (1, 2, 10)] == [44, 58, 196] and all(x in got[k]["text"] for k in range(1, 11) for x in around(k))
+
+
 def test_nulls_repeated_rows_and_clashing_columns(spark):
     text = "\n".join(PASSAGE)
     rows = [(None, text, "g", 5), (3, text, "g", 5), (3, text, "g", 5), (None, None, None, None)]
