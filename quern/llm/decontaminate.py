@@ -232,10 +232,11 @@ def _scan(items):
 
 
 def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator]:
-    """(number of blocks, broadcasts of the test items): ITEM_BYTES of text at a time, each made when it is asked for; equal items are one."""
+    """(number of blocks, broadcasts of the test items): ITEM_BYTES of texts and ids at a time, each made when it is asked for; equal items are one, and those without a word, which hit nothing, stay where they are."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).distinct()
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")).distinct()
+    # and what an object takes besides
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("id"), F.lit(0)) + 64), F.lit(0))).first()[0]
     n = max(1, -(-size // ITEM_BYTES))
     rows = stored(rows) if n > 1 else rows
 

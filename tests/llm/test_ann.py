@@ -60,3 +60,19 @@ def test_vectors_of_no_use_take_no_part(spark):
     got = _found(spark, rows)
     assert {q: [i for _, i, _ in x] for q, x in got.items()} == {0: [1, 5]}
     assert _found(spark, []) == {} and _found(spark, [(0, None)]) == {}
+
+
+def test_recall_on_the_larger_table(spark):
+    """Every query of 2,000 vectors beside brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = sorted((r["vec_id"], np.array(r["embedding"], float)) for r in rows.collect())
+    ids, v = np.array([i for i, _ in table]), np.stack([x for _, x in table])
+    got = {}
+    for r in A.nearest(rows).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in ids[ids % 20 == 0]:
+        s = v @ v[ids == q][0]
+        s[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert len(got) == 100 and hits / (20 * len(got)) >= 0.9

@@ -55,6 +55,22 @@ def test_report_is_that_of_a_plain_search(spark, monkeypatch, item_bytes):
     assert kept.columns == ["doc_id", "text", "n_words", "items"] and kept.count() == len(docs) - sum(w[5] for w in want)
 
 
+def test_items_without_words_stay_where_they_are_and_ids_count(spark, monkeypatch):
+    """100,000 empty items with ids: none comes to the driver; items of one word each are dealt into blocks by the bytes of their ids too."""
+    seen = []
+    real = D.Items.__init__
+    monkeypatch.setattr(D.Items, "__init__", lambda self, ids, texts, window: (seen.append(len(ids)), real(self, ids, texts, window))[1])
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "doc_id long, text string")
+    empty = spark.range(100_000).selectExpr("cast(id as string) as item_id", "case id % 3 when 0 then null when 1 then '' else ' .,' end as text")
+    some = spark.createDataFrame([("a", "alpha"), ("b", "é")], "item_id string, text string")
+    assert [tuple(r)[:4] for r in D.contamination(docs, empty.unionByName(some)).orderBy("doc_id").collect()] == [(1, 2, 1, 1), (2, 1, 0, 0)] and seen == [2]
+    assert D.contamination(docs, empty).where("n_hit > 0").count() == 0
+    monkeypatch.setattr(D, "ITEM_BYTES", 4000)
+    seen.clear()
+    named = spark.range(40).selectExpr("repeat('x', 400) || id as item_id", "'w' || id as text")
+    assert D.contamination(docs, named).where("n_hit > 0").count() == 0 and sum(seen) == 40 and max(seen) < 25
+
+
 def test_shards_cut_no_window(monkeypatch):
     monkeypatch.setattr(D, "SHARD", 40)
     docs, items = _made(5)

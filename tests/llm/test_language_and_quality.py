@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -136,3 +138,64 @@ def test_no_language_can_be_learned(spark):
     with pytest.raises(ValueError):
         L.in_language(df, ["en"])
     assert L.in_language(df.limit(0), ["en"]).count() == 0
+
+
+def _plain_statistics(text):
+    """Q.STATISTICS of one text, counted byte by byte and word by word."""
+    raw = (text or "").encode()
+    kinds = [Q._KINDS[Q._KIND[b]] for b in raw]
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words, lines = [x for x in re.split(rb"[\x20\x09-\x0D]+", low) if x], [x for x in re.split(rb"[\n\r]+", low) if x]
+    size, n, m = max(1, len(raw)), max(1, len(words)), max(1, len(lines))
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    pairs = len(set(zip([None, *words], words, strict=False)))
+    share = [kinds.count(k) / size for k in Q._KINDS]
+    most = max((words.count(w) for w in set(words)), default=0)
+    return [math.log1p(len(raw)), *share, math.log1p(len(words)), (len(raw) - kinds.count("space")) / n, len(set(words)) / n, most / n, again / n, pairs / n, math.log1p(len(lines)), len(words) / m, len(set(lines)) / m, len(words) / max(1, kinds.count("stop")), kinds.count("upper") / n, math.log1p(len(set(words)))]
+
+
+def test_the_quality_query_equals_a_plain_version(spark, small_tables, monkeypatch):
+    """The same trees, walked node by node over plainly counted statistics, for every row of the table."""
+    grown = []
+    real = Q.Trees.fit
+    monkeypatch.setattr(Q.Trees, "fit", lambda self, x, y: (real(self, x, y), grown.append(self))[0])
+    docs, labels = (spark.read.parquet(f"{small_tables}/{x}.parquet") for x in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in Q.quality_scores(docs, labels).collect()}
+    (t,) = grown
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows) and len(t.feature) == Q.TREES
+    for r in rows:
+        x, total = np.array(_plain_statistics(r["text"]), np.float32), t.base
+        for f, c, v in zip(t.feature, t.threshold, t.value, strict=True):
+            node = 0
+            for _ in range(Q.DEPTH):
+                node = 2 * node + (2 if x[f[node]] > c[node] else 1)
+            total += v[node - (2**Q.DEPTH - 1)]
+        want = 1 / (1 + math.exp(-total))
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-9 and got[r["doc_id"]]["predicted"] == int(want >= 0.5), r["doc_id"]
+
+
+def test_the_language_query_equals_a_plain_version(spark, small_tables, monkeypatch):
+    """The same network, its filters laid on each window in turn, for every row of the table."""
+    nets = []
+    real = L.trained
+    monkeypatch.setattr(L, "trained", lambda *a, **b: nets.append(real(*a, **b)) or nets[-1])
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet")
+    got = {r["doc_id"]: r for r in L.languages(docs).collect()}
+    (net,) = nets
+    for r in docs.select("doc_id", "text").collect():
+        raw = (r["text"] or "").encode()
+        total = np.zeros(len(net.langs))
+        for a in range(0, len(raw), L.WINDOW):
+            part = np.frombuffer(raw[a : a + L.WINDOW], np.uint8)
+            x = np.zeros(L.WINDOW + 3, np.uint8)
+            x[: len(part)] = part
+            pooled = [sum(table[j][x[j : L.WINDOW + j]] for j in range(w)).max(axis=0) for w, table in zip(L.WIDTHS, net.tables, strict=True)]
+            z = np.maximum(np.concatenate(pooled) + net.bias, 0).astype(float) @ net.out + net.out_bias
+            total += len(part) * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        p = np.exp(total / len(raw) - (total / len(raw)).max())
+        p /= p.sum()
+        assert got[r["doc_id"]]["lang_pred"] == net.langs[int(p.argmax())] and abs(got[r["doc_id"]]["score"] - p.max()) < 1e-3, r["doc_id"]
