@@ -5,9 +5,12 @@ sets are put in one order, rare tokens first, and frequent tokens are put in cla
 by their counts. Two sets of Jaccard similarity t or more share a token among the
 first |x| - ceil(t |x|) + 1 of each. A rare token is indexed alone. Where the first
 token that two sets share is of a frequent class, prefixes are extended: the tokens
-that only one of them holds are fewer than the first shared ones by then, so two
-shared tokens stand side by side in both sets' orders. For each class that a set's
-prefix reaches, the pairs of neighbours in its extended prefix are indexed.
+that only one of them holds cut those that they share into a bounded number of runs,
+so that k shared tokens stand side by side in both sets' orders. For each class that a
+set's prefix reaches, the combinations of k neighbours in its extended prefix are
+indexed, with a larger k for a more frequent class. Within a class the order is that
+of hashes, so that neighbours are tokens that have nothing else in common, as those of
+one phrase would have.
 
 A set that meets another under a class holds no token before that class in common
 with it. That bounds what two sets share, and with it the sizes of partners.
@@ -45,6 +48,8 @@ BITS = 1024
 FREQUENT = 1 << 21
 #: Tokens seen at most so often are rare, and a class reaches to so many times its least count.
 OFTEN, STEP = 64, 8
+#: Tokens in a combination, for the classes from the least frequent on; the last for all further ones.
+TOGETHER_BY_CLASS = (3, 4)
 #: Bits of the filters for keys that repeat and for classes whose sets are needed.
 FILTER_BITS = 1 << 26
 #: About so many tokens are compared with one set in a task.
@@ -158,19 +163,22 @@ def _survey(width: int, frequent: int):
 
 
 class Order:
-    """The order of all tokens: those not in the table by their hash, then those of the table by count."""
+    """The order of all tokens: those not in the table by their hash, then those of the table by class, and by hash within it."""
 
     def __init__(self, tokens: np.ndarray, hits: np.ndarray):
-        by_count = np.lexsort((tokens, hits))
+        steps = hits.min() * STEP ** np.arange(1, 22, dtype=np.float64) if len(hits) else np.zeros(0)
+        classes = np.searchsorted(steps, hits)
+        order = np.lexsort((_text.mix(tokens + _U(3)), classes))
         rank = np.empty(len(tokens), np.int32)
-        rank[by_count] = np.arange(len(tokens))
+        rank[order] = np.arange(len(tokens))
         by_token = np.argsort(tokens)
         self.tokens, self.rank = tokens[by_token], rank[by_token]
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.tokens >> _U(42)).astype(np.int64)] = True
-        # the rank from which on counts are beyond each step
-        steps = hits.min() * STEP ** np.arange(1, 22, dtype=np.float64) if len(hits) else np.zeros(0)
-        self.starts = np.unique(np.searchsorted(hits[by_count], steps, "right"))
+        # the rank from which on each class but the first lies, and how many tokens are combined in each
+        present, starts = np.unique(classes[order], return_index=True)
+        self.starts = starts[1:]
+        self.together = [TOGETHER_BY_CLASS[min(c, len(TOGETHER_BY_CLASS) - 1)] for c in present.tolist()]
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Sort keys of tokens; those of frequent ones have the highest bit."""
@@ -186,19 +194,29 @@ class Order:
 def index_keys(order: Order, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(keys under which one set is indexed, most tokens that it can share with a set it meets first under each, its rare tokens)."""
     n = len(s)
-    own_only = n - -(-percent * n // 100)
+    shared = -(-percent * n // 100)
+    own_only, lone = n - shared, (100 - percent) * n // percent
     order_keys = np.sort(order.keys(s))
     rare = int(np.searchsorted(order_keys, _U(1 << 63)))
     head = min(rare, own_only + 1)
     keys, most = [_text.mix(order_keys[:head] + _U(1))], [n - np.arange(head)]
-    if rare <= own_only:
+    if rare <= own_only and lone:
         level = np.searchsorted(order.starts, (order_keys[rare:] - _U(1 << 63)).astype(np.int64), "right")
-        for k in np.unique(level[: own_only + 1 - rare]).tolist():
-            low = rare + int(np.searchsorted(level, k))
-            # both sets together hold at most (1 - t) / t times n tokens alone, `low` of them before this class: among so many shared tokens and one more, two are neighbours in both
-            ext = order_keys[low : own_only + (100 - percent) * n // percent - low + 2]
-            keys.append(_text.mix(_text.mix(ext[:-1] + _U(2 + k)) * _MULTIPLIERS[0] + ext[1:]))
-            most.append(np.full(len(keys[-1]), n - low))
+        for c in np.unique(level[: own_only + 1 - rare]).tolist():
+            low = rare + int(np.searchsorted(level, c))
+            # both sets together hold at most `lone` tokens alone, `low` of them before this class: the others leave that many runs of shared tokens
+            runs, wanted = lone - low + 1, order.together[c]
+            # a set that shares too few tokens to be sure of a run of that length is indexed under shorter ones too: of two such sets, the surer one's length is common to both
+            sure = min(wanted, (shared - 1) // runs + 1)
+            for k in range(sure, wanted + 1):
+                # among (k - 1) * runs + 1 shared tokens, k are neighbours in both
+                ext = order_keys[low : own_only + (k - 1) * runs + 1]
+                if len(ext) >= k:
+                    h = _text.mix(ext[: len(ext) - k + 1] + _U(2 + c + 64 * k))
+                    for j in range(1, k):
+                        h = _text.mix(h * _MULTIPLIERS[0] + ext[j : len(ext) - k + 1 + j])
+                    keys.append(h)
+                    most.append(np.full(len(h), n - low))
     return np.concatenate(keys), np.concatenate(most), rare
 
 
@@ -383,7 +401,9 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     owners = spark.sparkContext.broadcast(_bloom.build(owner, "owner", FILTER_BITS))
     repeated = docs.mapInArrow(_index(width, percent, order, owners), "key long").groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     wanted = spark.sparkContext.broadcast(_bloom.build(repeated, "key", FILTER_BITS))
-    index = stored(docs.mapInArrow(_index(width, percent, order, owners, wanted), "key long, cid long, rank long, most long").groupBy("key", "cid").agg(F.max("rank").alias("rank"), F.max("most").alias("most")))
+    # dealt by key once: members and what is said of all members of a key read the same exchange, and it is not stored
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = docs.mapInArrow(_index(width, percent, order, owners, wanted), "key long, cid long, rank long, most long").repartition(n_parts, "key").groupBy("key", "cid").agg(F.max("rank").alias("rank"), F.max("most").alias("most"))
     # `rank` is a set's number of rare tokens, then its size: the first member of a bucket is the one that differs least from what many share
     size = lambda x: F.col(x).bitwiseAND(0xFFFFFFFF)
     member = F.xxhash64("cid")
@@ -400,13 +420,16 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # keys with the same members are one bucket: near copies share hundreds of keys, but few sets of members
     top = F.floor((100 + percent) * F.max("most") / percent) - F.max(size("rank"))
     buckets = stored(index.join(sets_of_key, "key").groupBy(F.col("set").alias("key"), "cid").agg(F.max(size("rank")).alias("n"), top.alias("top"), F.max("pivot").alias("pivot"), F.max("pivot_n").alias("pivot_n")))
-    done_with(index)
+    done_with()
     # used by each screen: stored, so that few pairs can be joined without another shuffle of it
     classes = stored(members.where("n > 0").groupBy("cid").agg(F.max("n").alias("n"), F.max("parity").alias("parity")))
 
     def screened(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity"))
-        return stored(stored(pairs.distinct()).join(side("a"), "a").join(side("b"), "b").where(_may_link(percent, "a_parity", "b_parity", F.col("a_n") + F.col("b_n"))).select("a", "b", "b_n"))
+        distinct = stored(pairs.distinct())
+        left = stored(distinct.join(side("a"), "a").join(side("b"), "b").where(_may_link(percent, "a_parity", "b_parity", F.col("a_n") + F.col("b_n"))).select("a", "b", "b_n"))
+        done_with(distinct)
+        return left
 
     fits = lambda x, y: F.greatest(x, y) * percent <= F.least(x, y) * 100
     star = screened(buckets.where("cid <> pivot").where(fits("pivot_n", "n")).select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
