@@ -2,6 +2,9 @@
 
 Each stage's result is written as Parquet to the folder that all executors share
 and read from there by the next. All but the last return the columns of documents.
+Each stage takes null and empty texts, null and repeated doc_ids, repeated rows and
+empty tables; what becomes of them is said with the operator that it calls. Null and
+empty texts go in the first stage, so no later one meets them in a whole run.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents, repeated rows and all; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
