@@ -144,7 +144,8 @@ def nearest(vectors: DataFrame, every: int = 20, top: int = 20, target: float =
     Vectors that are null, empty, zero, or hold a null or a number that is not finite
     take no part, nor do rows with a null vec_id or a length other than the commonest
     (the larger, if tied). Rows with the query's vec_id are its own; equal rows count
-    once. An empty table gives no rows.
+    once. Where rows of one vec_id have different vectors, the one asks whose bytes are
+    the least. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     x = F.col("embedding").cast("array<double>")

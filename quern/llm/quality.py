@@ -149,7 +149,7 @@ class Trees:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the statistics of each whole text."""
+    """(doc_id, x): the statistics of each whole text; a null text has those of an empty one. Null doc_ids and repeated rows are each measured, an empty table gives none."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):

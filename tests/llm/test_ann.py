@@ -76,3 +76,10 @@ def test_recall_on_the_larger_table(spark):
         s[ids == q] = -np.inf
         hits += len(got[q] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
     assert len(got) == 100 and hits / (20 * len(got)) >= 0.9
+
+
+def test_of_several_vectors_of_one_id_the_least_bytes_ask(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 3.0])]
+    asks = min((np.array(v).tobytes(), v) for i, v in rows if i == 0)[1]
+    want = sorted(((-float(np.dot(asks, v)), i) for i, v in rows if i))
+    assert [i for _, i, _ in _found(spark, rows)[0]] == [i for _, i in want]
