@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
 from quern.operators.graph import bipartite_degrees, k_hop, transition_edges
+from quern.operators.projection import shared_groups
 from quern.streaming.edges import windowed_edges
 
 
@@ -50,12 +51,20 @@ def daily_user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_edges(events, "ts", "user_id", "event_type", "1 day", "1 day").select(F.date_format("begin", "yyyy-MM-dd").alias("begin"), "src", "dst", "weight")
 
 
+def part_order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that were ordered together, and in how many orders."""
+    return shared_groups(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (event_transitions, supplier_part_degrees, nation_trade_components, customer_order_hops, daily_user_events)}
+    return {f.__name__: f for f in (event_transitions, supplier_part_degrees, nation_trade_components, customer_order_hops, daily_user_events, part_order_edges)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "part_order_edges": """
+            WITH e AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL)
+            SELECT x.n AS a, y.n AS b, count(*) AS weight FROM e AS x JOIN e AS y ON x.g = y.g AND x.n < y.n GROUP BY ALL""",
         "daily_user_events": """
             SELECT strftime(ts, '%Y-%m-%d') AS begin, user_id AS src, event_type AS dst, count(*) AS weight
             FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL GROUP BY ALL""",

@@ -92,8 +92,10 @@ def streamed_paths(events: DataFrame, who: str, at: str, number: str, state: str
     row whose state is in `ends` ("state"), or where more than `gap` passes without
     another row ("gap"), which a timer finds when the watermark, `late` behind, has
     passed that. Rows up to `late` behind are put in their place. Rows with a null are
-    left out. State is kept in RocksDB, so an actor's steps needn't fit in memory with
-    those of others; it is dropped when the actor's path ends.
+    left out. State is kept in RocksDB, which spark.sql.streaming.stateStore.providerClass
+    has to name, so actors' steps needn't fit in memory together; an actor's state is
+    dropped when its path ends. After a restart from its checkpoint the stream goes on
+    where it was.
     """
     rows = _steps(events, who, at, number, state).withWatermark("at", late)
     kind = rows.schema["who"].dataType.simpleString()

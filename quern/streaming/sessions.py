@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def sessions(events: DataFrame, ts: str, who: str, state: str, gap: str, late: str) -> DataFrame:
-    """(who, begin, end, n, edges): runs of an actor's rows with less than `gap` between them; end is that of the last row plus `gap`.
+    """(who, begin, end, n, edges): runs of an actor's rows with `gap` or less between them; end is that of the last row plus `gap`.
 
     edges counts which state was followed by which, as a map "a>b" to count: the graph
     that the actor went through in the session. On a stream in append mode a session

@@ -5,6 +5,7 @@ from compare import duck_rows, spark_rows
 
 from quern.operators.components import connected_components
 from quern.operators.graph import bipartite_degrees, k_hop, transition_edges
+from quern.operators.projection import shared_groups
 from quern.plans import graph_queries
 
 
@@ -59,3 +60,21 @@ def test_hops_keep_the_least_depth_on_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3)], "a long, b long")
     starts = spark.createDataFrame([(1,)], "a long")
     assert spark_rows(k_hop(edges, "a", "b", starts, 3)) == [(0, 1, 1), (1, 2, 1), (1, 3, 1)]
+
+
+@pytest.mark.parametrize("limit", [1 << 12, 4, 1])
+@pytest.mark.parametrize("least", [1, 2])
+def test_shared_groups_equal_a_plain_count(spark, limit, least):
+    from collections import Counter
+    from itertools import combinations
+
+    rnd = random.Random(3)
+    edges = [(rnd.choice([0, 0, rnd.randrange(20)]), rnd.randrange(30)) for _ in range(150)] + [(None, 1), (1, None), (5, 5), (5, 5)]
+    groups = {}
+    for g, n in edges:
+        if g is not None and n is not None:
+            groups.setdefault(g, set()).add(n)
+    want = Counter(p for m in groups.values() for p in combinations(sorted(m), 2))
+    got = shared_groups(spark.createDataFrame(edges, "g long, n long").repartition(3), "g", "n", least, limit).collect()
+    assert {(r["a"], r["b"]): r["weight"] for r in got} == {p: k for p, k in want.items() if k >= least} and len(got) == len({(r["a"], r["b"]) for r in got})
+    assert shared_groups(spark.createDataFrame([], "g long, n long"), "g", "n").count() == 0

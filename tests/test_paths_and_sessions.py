@@ -115,6 +115,15 @@ def test_a_late_row_joins_two_sessions(spark, tmp_path):
     assert got == [(1, "01 08:00", 3, {"a>c": 1, "c>b": 1}), (2, "01 09:00", 1, {}), (3, "04 00:00", 1, {}), (3, "10 00:00", 1, {})]
 
 
+def test_sessions_of_odd_tables(spark):
+    kind = "at timestamp, who long, state string"
+    assert sessions(spark.createDataFrame([], kind), "at", "who", "state", "2 hours", "1 day").count() == 0
+    t = lambda h, us=0: datetime.datetime(2024, 1, 1, h, 0, 0, us, datetime.timezone.utc)
+    rows = [(t(1), 1, "a"), (t(3), 1, "b"), (t(5, 1), 1, "c"), (t(1), 2, "a"), (t(1), 2, "a"), (t(1), 2, "b"), (None, 1, "x"), (t(1), None, "x"), (t(1), 1, None)]
+    got = sorted((r["who"], r["n"], sorted(r["edges"].items())) for r in sessions(spark.createDataFrame(rows, kind), "at", "who", "state", "2 hours", "1 day").collect())
+    assert got == [(1, 1, []), (1, 2, [("a>b", 1)]), (2, 3, [("a>a", 1), ("a>b", 1)])]
+
+
 def test_sliding_windows_of_a_stream_are_those_of_its_table(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -125,6 +134,6 @@ def test_sliding_windows_of_a_stream_are_those_of_its_table(spark, tmp_path):
         _drain(frame, tmp_path / "out", tmp_path / "checkpoint")
     table = spark.read.schema("at timestamp, who long, id long, state string").json(str(folder))
     whole = sliding_edges(table, "at", "who", "state", "3 days", "1 day", "2 days").where("src <> 9")
-    assert spark_rows(spark.read.parquet(str(tmp_path / "out")).where("src <> 9")) == spark_rows(whole) and whole.count() == 3 + 2 + 3 + 1 or whole.count() > 5
+    assert spark_rows(spark.read.parquet(str(tmp_path / "out")).where("src <> 9")) == spark_rows(whole) and whole.count() > 5
     hot = {(str(r["begin"])[:10], r["src"], r["dst"]): r["weight"] for r in whole.collect()}
     assert hot["2023-12-31", 1, "a"] == 6 + 1 and hot["2024-01-02", 1, "a"] == 1 and hot["2024-01-01", 1, "b"] == 1
