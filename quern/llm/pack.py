@@ -141,7 +141,7 @@ _words: dict[int, Words] = {}
 
 
 def pieces(docs: DataFrame, config: str, length: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each document's ids and a final 0, cut at `length`."""
+    """(doc_id, piece, start, length, ids_crc32) of each document's ids and a final 0, cut at `length`. A null or empty text is a 0 alone; null doc_ids and repeated rows have pieces of their own; an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(config)
     name = zlib.crc32(config.encode())
 
