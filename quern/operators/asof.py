@@ -53,7 +53,8 @@ def as_of(left: DataFrame, on: list[str], at: str, streams: list[Stream], strict
     values are carried forward there. A key with more than `limit` rows is cut into time
     slices. The last row of each slice of the streams, found with a partial aggregate, is
     handed to the slices after it. Rows of `left` with a null key or time are kept
-    without a match, such rows of a stream match nothing. Repeated rows are kept.
+    without a match, such rows of a stream match nothing. Repeated rows are kept. Times
+    are numbers, dates or timestamps.
     """
     rows, keys, order = merged(left, on, at, streams, strict)
     values = [f"__s{i}" for i in range(len(streams))]

@@ -42,3 +42,20 @@ import __spark_entry__ as e
 assert e.queries()['nation_trade_components'](spark, {small_tables!r}).count() and e.queries()['customer_order_hops'](spark, {small_tables!r}).count()
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=300, capture_output=True)
+
+
+def test_no_folder_of_one_machine_is_used_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from quern.operators.checkpoints import ready
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    taken = []
+    context = SimpleNamespace(master="spark://host:7077", setCheckpointDir=taken.append, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    session = lambda folder: SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: folder))
+    with pytest.raises(ValueError):
+        ready(session(None))
+    ready(session("hdfs://shared/checkpoints"))
+    assert taken == ["hdfs://shared/checkpoints"]
