@@ -368,3 +368,13 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 13,
         part = stored(read.mapInArrow(f, "item_id string, item_start long, length long, doc_id long, doc_start long"))
         found = part if found is None else found.union(part)
     return found
+
+
+def longest_by_suffix(docs: DataFrame, benchmark: DataFrame, min_words: int = 13) -> DataFrame:
+    """(item_id, item_start, length): for each suffix of a test item that some document has `min_words` words or more of, how many words the longest such match has; see longest_matches.
+
+    One row for each item_id and start, whatever the number of shards and documents. An
+    item without id has no rows; items of one id are one here, and the longer match counts.
+    """
+    found = longest_matches(docs, benchmark, min_words).where("item_id is not null")
+    return found.groupBy("item_id", "item_start").agg(F.max("length").alias("length"))

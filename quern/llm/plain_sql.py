@@ -17,6 +17,16 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN named ON d.doc_id = named.doc_id"""
 
+#: Stretches of 13 words of items that documents have, joined along item and document to the longest ones from each start.
+LONGEST = f"""
+WITH d AS (SELECT row_number() OVER () AS row, {_WORDS} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS item, item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+x AS (SELECT item, item_id, s, list_slice(w, s + 1, s + 13) AS x FROM (SELECT item, item_id, w, unnest(range(0, len(w) - 12)) AS s FROM i WHERE len(w) >= 13)),
+y AS (SELECT row, p, list_slice(w, p + 1, p + 13) AS x FROM (SELECT row, w, unnest(range(0, len(w) - 12)) AS p FROM d WHERE len(w) >= 13)),
+met AS (SELECT item, item_id, row, p - s AS shift, s, s - row_number() OVER (PARTITION BY item, row, p - s ORDER BY s) AS run FROM x JOIN y USING (x)),
+runs AS (SELECT item_id, s, max(s) OVER (PARTITION BY item, row, shift, run) - s + 13 AS length FROM met)
+SELECT item_id, s::BIGINT AS item_start, max(length)::BIGINT AS length FROM runs GROUP BY item_id, s"""
+
 #: All stretches of 50 words, grouped, and the repeated ones joined to passages.
 PASSAGES = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),

@@ -27,6 +27,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def benchmark_longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import longest_by_suffix
+
+    return longest_by_suffix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_scores
 
@@ -98,10 +104,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, op4_quality_classifier, op5_token_counts, op6_suffix_array_dedup, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id, op11_importance_resampling, op12_exact_topk, op13_phrase_collocations, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_benchmark_decontamination, benchmark_longest_matches, op4_quality_classifier, op5_token_counts, op6_suffix_array_dedup, op7_nearest_neighbours, op8_best_fit_packing, op9_ngram_jaccard_join, op10_language_id, op11_importance_resampling, op12_exact_topk, op13_phrase_collocations, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import collocations, licenses, line_dedup, plain_sql, resampling, topk
 
-    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql(), "op3_benchmark_decontamination": plain_sql.CONTAMINATION, "op6_suffix_array_dedup": plain_sql.PASSAGES, "op9_ngram_jaccard_join": plain_sql.JACCARD, "op11_importance_resampling": resampling.SQL, "op12_exact_topk": topk.SQL, "op13_phrase_collocations": collocations.SQL}
+    return {"op1_line_dedup": line_dedup.SQL, "op2_license_scan": licenses.sql(), "op3_benchmark_decontamination": plain_sql.CONTAMINATION, "benchmark_longest_matches": plain_sql.LONGEST, "op6_suffix_array_dedup": plain_sql.PASSAGES, "op9_ngram_jaccard_join": plain_sql.JACCARD, "op11_importance_resampling": resampling.SQL, "op12_exact_topk": topk.SQL, "op13_phrase_collocations": collocations.SQL}

@@ -135,3 +135,21 @@ def test_repeated_items_are_one_and_blocks_are_made_one_at_a_time(spark, monkeyp
     assert len(made) == 1
     list(blocks)
     assert sum(made) == repeated.distinct().count()
+
+
+def test_longest_matches_of_the_tables_equal_their_sql(spark, tables):
+    from compare import duck_rows, spark_rows
+
+    from quern.llm import registry
+
+    got = spark_rows(registry.queries()["benchmark_longest_matches"](spark, tables))
+    assert got == duck_rows(registry.oracle_sql()["benchmark_longest_matches"], tables) and len(got) > 100
+
+
+def test_longest_matches_of_odd_items(spark):
+    w = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(w[:30])), (None, " ".join(w[5:40])), (1, None), (2, "")], "doc_id long, text string")
+    items = spark.createDataFrame([("a", " ".join(w)), ("a", " ".join(w[20:38])), (None, " ".join(w)), ("b", None), ("c", "w1 w2")], "item_id string, text string")
+    got = {(r["item_id"], r["item_start"]): r["length"] for r in D.longest_by_suffix(docs, items).collect()}
+    assert got == {("a", s): 30 - s if s < 5 else 40 - s for s in range(28)}
+    assert D.longest_by_suffix(docs.limit(0), items).count() == 0 and D.longest_by_suffix(docs, items.limit(0)).count() == 0
