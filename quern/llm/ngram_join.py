@@ -8,9 +8,10 @@ token that two sets share is of a frequent class, prefixes are extended: the tok
 that only one of them holds cut those that they share into a bounded number of runs,
 so that k shared tokens stand side by side in both sets' orders. For each class that a
 set's prefix reaches, the combinations of k neighbours in its extended prefix are
-indexed, with a larger k for a more frequent class. Within a class the order is that
-of hashes, so that neighbours are tokens that have nothing else in common, as those of
-one phrase would have.
+indexed. k is two: with three the prefix has to reach so far that it ends among the
+tokens that texts of one template all have, and combinations of these alone would be
+indexed. Within a class the order is that of hashes, so that neighbours are seldom
+tokens of one phrase, which have each other's documents.
 
 A set that meets another under a class holds no token before that class in common
 with it. That bounds what two sets share, and with it the sizes of partners.
@@ -49,7 +50,7 @@ FREQUENT = 1 << 21
 #: Tokens seen at most so often are rare, and a class reaches to so many times its least count.
 OFTEN, STEP = 64, 8
 #: Tokens in a combination, for the classes from the least frequent on; the last for all further ones.
-TOGETHER_BY_CLASS = (3, 4)
+TOGETHER_BY_CLASS = (2,)
 #: Bits of the filters for keys that repeat and for classes whose sets are needed.
 FILTER_BITS = 1 << 26
 #: About so many tokens are compared with one set in a task.
@@ -204,13 +205,16 @@ def index_keys(order: Order, s: np.ndarray, percent: int) -> tuple[np.ndarray, n
         level = np.searchsorted(order.starts, (order_keys[rare:] - _U(1 << 63)).astype(np.int64), "right")
         for c in np.unique(level[: own_only + 1 - rare]).tolist():
             low = rare + int(np.searchsorted(level, c))
-            # both sets together hold at most `lone` tokens alone, `low` of them before this class: the others leave that many runs of shared tokens
-            runs, wanted = lone - low + 1, order.together[c]
+            # of d tokens that one of both sets holds alone, `low` stand before this class: the rest leave d - low + 1 runs of shared tokens, of which there are
+            # n - d at least, and percent / (100 - percent) d. So a run of k is hardest to come by where d is n (100 - percent) / 100, or one more
+            wanted = min(order.together[c], percent // (100 - percent) + 1)
+            sure = min(wanted, (shared - 1) // (own_only - low + 1) + 1)
+            if own_only < lone:
+                sure = min(sure, (-(-percent * (own_only + 1) // (100 - percent)) - 1) // (own_only - low + 2) + 1)
             # a set that shares too few tokens to be sure of a run of that length is indexed under shorter ones too: of two such sets, the surer one's length is common to both
-            sure = min(wanted, (shared - 1) // runs + 1)
             for k in range(sure, wanted + 1):
-                # among (k - 1) * runs + 1 shared tokens, k are neighbours in both
-                ext = order_keys[low : own_only + (k - 1) * runs + 1]
+                # among the (k - 1) (d - low + 1) + 1 first shared tokens k are neighbours in both sets, and d of its own at most stand between
+                ext = order_keys[low : k * n * (100 - percent) // 100 - (k - 1) * (low - 1) + 1]
                 if len(ext) >= k:
                     h = _text.mix(ext[: len(ext) - k + 1] + _U(2 + c + 64 * k))
                     for j in range(1, k):

@@ -188,3 +188,24 @@ def test_words_are_hashed_alike_in_any_block():
         finally:
             T.blocks.__defaults__ = before
         assert all(np.array_equal(a, b) for a, b in zip(whole, part, strict=True))
+
+
+def test_no_combination_of_template_tokens_alone_is_indexed():
+    """Texts of one template, ten fields of ten values: no key is one of all texts, and those who share one are fewer than half of all pairs; keys of one set of members are counted once."""
+    import pyarrow as pa
+
+    rnd = random.Random(7)
+    texts = []
+    for _ in range(1500):
+        w = [f"t{i}" for i in range(120)]
+        for f in range(10):
+            w[f * 12 + 5] = f"f{f}v{rnd.randrange(10)}"
+        texts.append(" ".join(w))
+    tokens, at = N.shingle_sets(*T.utf8(pa.array(texts)))
+    distinct, hits = np.unique(tokens, return_counts=True)
+    order, members = N.Order(distinct[hits > 64], hits[hits > 64]), {}
+    for i in range(len(texts)):
+        for k in np.unique(N.index_keys(order, tokens[at[i] : at[i + 1]], 80)[0]).tolist():
+            members.setdefault(k, []).append(i)
+    sizes = [len(m) for m in set(map(tuple, members.values()))]
+    assert max(sizes) < 1500 / 8 and sum(n * (n - 1) // 2 for n in sizes) < 1500 * 1499 / 4
