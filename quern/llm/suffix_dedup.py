@@ -31,8 +31,8 @@ _U = np.uint64
 HEAD = 20
 #: Bits of each filter, of heads that repeat and of those with more than HOT places.
 FILTER_BITS = 1 << 26
-#: Heads with more places are counted by stretches.
-HOT = 200_000
+#: Heads with more places are counted by stretches: that many suffixes take less than 300 MB in the one process that compares them.
+HOT = 40_000
 #: Suffixes that are compared at once.
 ROWS = 16_384
 _FACTOR = _U(0x9E3779B97F4A7C15 | 1)
@@ -251,7 +251,11 @@ def _hot_stretches(least: int, hot):
 
 
 def shared_passages(docs: DataFrame, least: int = 50) -> DataFrame:
-    """(doc, start, end, other, first): stretches of words that another document has too, not yet joined; see repeated_passages."""
+    """(doc, start, end, other, first): stretches of words that another document has too, not yet joined; see repeated_passages.
+
+    A stretch may come several times. Null, empty and short texts, rows without doc_id
+    and an empty table give none; rows of one doc_id don't repeat each other.
+    """
     spark = docs.sparkSession
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     heads = stored(read.mapInArrow(_census(least), "head long, low long, high long, n long").groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).where("low <> high").select("head", "n"))
@@ -299,7 +303,12 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, least: int = 50) -> DataFrame:
-    """`docs`, all columns, whose text has lost the passages that a document of a smaller id has; see repeated_passages."""
+    """`docs`, all columns, whose text has lost the passages that a document of a smaller id has; see repeated_passages.
+
+    Null and empty texts and rows without doc_id stay as they are, and so do repeated
+    rows, which lose the same words each. Columns of any name are passed on. An empty
+    table gives none.
+    """
     gone = _joined(shared_passages(docs, least).where("not first").distinct()).groupBy(F.col("doc").alias("__quern_doc")).agg(F.collect_list(F.struct("start", "end")).alias("__quern_gone"))
     marked = docs.join(gone, F.col("doc_id") == F.col("__quern_doc"), "left").drop("__quern_doc")
 
