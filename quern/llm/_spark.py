@@ -60,3 +60,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
         _, offsets = _text.utf8(batch.column(batch.schema.get_field_index(column)))
         for a, b in _text.row_groups(offsets[1:] - offsets[:-1], limit):
             yield batch.slice(a, b - a)
+    # a worker goes on to other tasks: what this one had is given back
+    pa.default_memory_pool().release_unused()
