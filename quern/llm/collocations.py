@@ -30,7 +30,7 @@ from ._spark import slices, stored
 #: Words that a worker knows by small numbers at most; rarer ones go by their hash.
 CODED = 1 << 21
 #: Occurrences of a prefix that one task takes, about.
-PART = 1 << 20
+PART = 1 << 16
 #: Bytes of text in a slice, and words of it that are combined at once.
 TEXT, COMBINED = 4 << 20, 1 << 20
 #: Parts that a language's phrases are ranked in first.
@@ -117,6 +117,10 @@ class Codes:
         out[known] = self.order[at[known]] + 1
         return out
 
+    def parts_of(self, symbols: np.ndarray) -> np.ndarray:
+        """How many tasks the pointers of each prefix are dealt to."""
+        return self.parts[symbols.clip(min=0)]
+
     def back(self, symbols: np.ndarray) -> np.ndarray:
         """The hashes of symbols."""
         return np.where(symbols < 0, -1 - symbols, self.hashes[symbols.clip(min=0)])
@@ -137,7 +141,10 @@ def codes(words: DataFrame, least: int) -> Codes:
 
 
 def _pointers(seed: int, shared):
-    """(a, part, b, c, n): a word, the two words to its right (0 for none), and how often they stand so in a slice. part numbers the tasks of a very frequent prefix, -1 for others."""
+    """(a, part, b, c, n): a word, the two words to its right (0 for none), and how often they stand so in a slice.
+
+    part tells the tasks of a very frequent prefix apart. It is below 0 where all places of a and b are in one; 0 or more where b, too, is so frequent that they are dealt by c.
+    """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Codes = shared.value
@@ -159,9 +166,10 @@ def _pointers(seed: int, shared):
                 # at most 2 ** 20 + 3 local numbers
                 packed, n = np.unique((local[keep] << 42) | (follows[0, keep] << 21) | follows[1, keep], return_counts=True)
                 a, b, c = (symbol[(packed >> k) & ((1 << 21) - 1)] for k in (42, 21, 0))
-                parts = np.where(a > 0, known.parts[a.clip(min=0)], 1)
-                deal = (_text.mix(_text.mix(b.view(_U)) + c.view(_U)) % parts.astype(_U)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.where(parts > 1, deal, -1).astype(np.int32)), pa.array(b), pa.array(c), pa.array(n)], names=["a", "part", "b", "c", "n"])
+                # a pair of words is no more frequent than either
+                parts, apart = known.parts_of(a), (known.parts_of(a) > 1) & (known.parts_of(b) > 1)
+                deal = (_text.mix(_text.mix(b.view(_U)) + np.where(apart, c, 0).view(_U)) % parts.astype(_U)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.where(apart, deal, -1 - deal).astype(np.int32)), pa.array(b), pa.array(c), pa.array(n)], names=["a", "part", "b", "c", "n"])
 
     return f
 
@@ -177,7 +185,7 @@ def _runs(keys: tuple[np.ndarray, ...], n: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _grown(shared, least: int):
-    """(a, b, c, n), words by their hashes: phrases of three words with the least support, and of two (c null): with it, or where their prefix has several parts, with their count in this one."""
+    """(a, b, c, n), words by their hashes: phrases of three words with the least support, and of two (c null): with it, or where they are dealt to several parts, with their count in this one."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Codes = shared.value
