@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators.cubes import cube, grouped_distinct
+from quern.operators.parts import joined
 from quern.operators.snapshots import difference
 from quern.sources.properties import property_edges
 
@@ -20,10 +21,14 @@ def market_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, distinct parts and cents by every choice of customer's nation, segment and order priority."""
     nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customers = _table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "c_mktsegment")
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    n_orders = orders.count()
+    orders = joined(orders, customers, ("o_custkey", "c_custkey"), n_orders)
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
     dimensions = ["n_name", "c_mktsegment", "o_orderpriority"]
-    return grouped_distinct(lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")), dimensions, cube(dimensions), "l_partkey", ["cents"]).withColumn("level", F.col("level").cast("long"))
+    n_lines = lines.count()
+    bought = joined(lines, orders, ("l_orderkey", "o_orderkey"), n_lines + n_orders)
+    return grouped_distinct(bought, dimensions, cube(dimensions), "l_partkey", ["cents"], n_lines).withColumn("level", F.col("level").cast("long"))
 
 
 def trade_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
