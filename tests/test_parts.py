@@ -1,8 +1,10 @@
 import re
+from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from quern.operators import cubes, parts
+from quern.operators import cubes, parts, projection
 from quern.operators.cubes import cube, grouped_distinct
 
 
@@ -32,3 +34,17 @@ def test_copies_for_levels_are_dealt_by_value_in_partitions_of_bounded_size(spar
             for key in ((i % 3, i % 5), (i % 3, None), (None, i % 5), (None, None)):
                 want.setdefault(key, []).append(0 if i % 2 == 0 else i)
         assert found == {k: (len(v), len(set(v)), 2 * len(v)) for k, v in want.items()}
+
+
+def test_pairs_of_nodes_are_made_and_added_up_in_partitions_of_bounded_size(spark, monkeypatch):
+    """2000 groups of four among 4000 nodes, so 12,000 pairs; and 500 groups among four nodes, whose pairs must repeat."""
+    monkeypatch.setattr(parts, "ROWS", 500)
+    monkeypatch.setattr(projection, "PAIRS", 1000)
+    edges = spark.range(8000).select(F.floor(F.col("id") / 4).alias("g"), (F.col("id") * 7 % 4001).alias("n"))
+    got = projection.shared_groups(edges, "g", "n")
+    assert _dealt(got) == [("a, b", 12), ("g", 32), ("g", 32)]
+    want = Counter(tuple(sorted((i * 7 % 4001, j * 7 % 4001))) for g in range(2000) for i, j in combinations(range(4 * g, 4 * g + 4), 2))
+    assert {(r["a"], r["b"]): r["weight"] for r in got.collect()} == want
+    few = projection.shared_groups(spark.range(2000).select(F.floor(F.col("id") / 4).alias("g"), (F.col("id") % 4).alias("n")), "g", "n")
+    assert _dealt(few) == [("a, b", 4), ("g", 8), ("g", 8)]
+    assert {(r["a"], r["b"]): r["weight"] for r in few.collect()} == {p: 500 for p in combinations(range(4), 2)}
