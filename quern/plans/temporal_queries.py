@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.operators.asof import Stream, as_of
 from quern.operators.intervals import overlapping
+from quern.operators.parts import joined, parts
 from quern.operators.walks import cheapest_walks
 from quern.streaming.paths import paths
 from quern.streaming.sessions import sessions, sliding_edges
@@ -46,10 +47,11 @@ def order_shipment_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of an order and a shipment of another order of the same customer that was on its way while the first was open; an order is open until its last shipment, and never if that was before it."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    last = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("closed"))
-    spans = orders.join(last, "o_orderkey")
-    shipped = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", (F.col("l_shipdate") + F.expr(f"interval {TRANSIT} days")).alias("arrives"))
-    pairs = overlapping(spans, shipped, (["o_custkey"], ["o_custkey"]), (("o_orderdate", "closed"), ("l_shipdate", "arrives")), where=F.col("left.o_orderkey") != F.col("right.l_orderkey"))
+    n_orders, n_lines = orders.count(), lines.count()
+    last = lines.repartition(parts(spark, n_orders + n_lines), "l_orderkey").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closed"))
+    spans = joined(orders, last, ("o_orderkey", "l_orderkey"), n_orders + n_lines).drop("l_orderkey")
+    shipped = joined(lines, orders, ("l_orderkey", "o_orderkey"), n_orders + n_lines).select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", (F.col("l_shipdate") + F.expr(f"interval {TRANSIT} days")).alias("arrives"))
+    pairs = overlapping(spans, shipped, (["o_custkey"], ["o_custkey"]), (("o_orderdate", "closed"), ("l_shipdate", "arrives")), where=F.col("left.o_orderkey") != F.col("right.l_orderkey"), size=n_orders + n_lines)
     days = F.datediff(F.least("left.closed", "right.arrives"), F.greatest("left.o_orderdate", "right.l_shipdate"))
     return pairs.select("left.o_custkey", "left.o_orderkey", "right.l_orderkey", "right.l_linenumber", "right.l_partkey", "right.l_suppkey", days.cast("long").alias("days"))
 

@@ -2,10 +2,13 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import cubes, parts, projection
 from quern.operators.cubes import cube, grouped_distinct
+from quern.operators.intervals import overlapping
+from quern.plans import aggregate_queries, temporal_queries
 
 
 def _dealt(df):
@@ -48,3 +51,25 @@ def test_pairs_of_nodes_are_made_and_added_up_in_partitions_of_bounded_size(spar
     few = projection.shared_groups(spark.range(2000).select(F.floor(F.col("id") / 4).alias("g"), (F.col("id") % 4).alias("n")), "g", "n")
     assert _dealt(few) == [("a, b", 4), ("g", 8), ("g", 8)]
     assert {(r["a"], r["b"]): r["weight"] for r in few.collect()} == {p: 500 for p in combinations(range(4), 2)}
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 300])
+def test_overlaps_are_dealt_in_partitions_of_bounded_size(spark, monkeypatch, limit):
+    """4000 and 2000 intervals of 50 keys, and 2000 of one key, which the lower limit cuts into bins."""
+    monkeypatch.setattr(parts, "ROWS", 500)
+    rows = lambda n, step: spark.range(n).select("id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 50).alias("k"), (F.col("id") * step).alias("a"), (F.col("id") * step + 3).alias("b"))
+    for size in (None, 6000):
+        got = overlapping(rows(4000, 1), rows(2000, 2), (["k"], ["k"]), (("a", "b"), ("a", "b")), limit, size=size)
+        dealt = [n for what, n in _dealt(got) if what.startswith("__k0")]
+        assert len(dealt) >= 2 and min(dealt[:2]) >= 12
+        key = lambda i: 0 if i % 2 == 0 else i % 50
+        assert Counter((r["left"]["id"], r["right"]["id"]) for r in got.collect()) == Counter((i, j) for j in range(2000) for i in range(2 * j - 3, 2 * j + 4) if 0 <= i < 4000 and key(i) == key(j))
+
+
+def test_orders_and_lines_are_joined_in_partitions_of_bounded_size(spark, tables, monkeypatch):
+    """15,000 orders and 60,000 lines."""
+    monkeypatch.setattr(parts, "ROWS", 7500)
+    dealt = _dealt(temporal_queries.order_shipment_overlaps(spark, tables))
+    assert {what for what, _ in dealt} == {"__k0", "o_orderkey", "l_orderkey"} and {n for _, n in dealt} == {10}
+    dealt = _dealt(aggregate_queries.market_cube(spark, tables))
+    assert ("l_orderkey", 10) in dealt and ("o_orderkey", 10) in dealt and ("o_custkey", 2) in dealt
