@@ -135,23 +135,24 @@ class Items:
             act = act[out[act] < length[act]]
         return out
 
-    def longest(self, s: SuffixArray) -> tuple[np.ndarray, np.ndarray]:
-        """(length, place) of the longest match that each test suffix has in the shard."""
-        at = self.bound(s, self.place, self.length, False)
+    def longest(self, s: SuffixArray, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(length, place) of the longest match that each test suffix, or each of those in `which`, has in the shard."""
+        place, length = (self.place, self.length) if which is None else (self.place[which], self.length[which])
+        at = self.bound(s, place, length, False)
         best, where, coded = (np.zeros(len(at), np.int64) for _ in range(3))
         for side in (at - 1, at):
             ok = np.flatnonzero((side >= 0) & (side < s.total))
             p = s.sa[side[ok]]
-            n = self.common(s, p, self.place[ok], self.length[ok])
-            coded[ok] = np.maximum(coded[ok], self.agree(s, p, self.place[ok], self.length[ok]))
+            n = self.common(s, p, place[ok], length[ok])
+            coded[ok] = np.maximum(coded[ok], self.agree(s, p, place[ok], length[ok]))
             better = n > best[ok]
             best[ok[better]], where[ok[better]] = n[better], p[better]
         # another word of the same code stands beside these: look through all suffixes of the codes in question
         for i in np.flatnonzero(coded > best).tolist():
-            one = self.place[i : i + 1]
+            one = place[i : i + 1]
             for n in range(int(coded[i]), int(best[i]), -1):
-                length = np.array([n])
-                p = s.sa[int(self.bound(s, one, length, False)[0]) : int(self.bound(s, one, length, True)[0])]
+                some = np.array([n])
+                p = s.sa[int(self.bound(s, one, some, False)[0]) : int(self.bound(s, one, some, True)[0])]
                 whole = np.flatnonzero(self.common(s, p, np.full(len(p), one[0]), np.full(len(p), n)) >= n)
                 if len(whole):
                     best[i], where[i] = n, p[whole[0]]
@@ -231,6 +232,45 @@ def _scan(items):
     return f
 
 
+def _stretches(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the `n` words from each place on, that many places fewer at the end; the ends of texts are not heeded."""
+    if len(hashes) < n:
+        return np.zeros(0, _U)
+    p, q = _text.powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(hashes * p[: len(hashes)], out=sums[1:])
+    return _text.mix((sums[n:] - sums[:-n]) * q[: len(hashes) - n + 1])
+
+
+class Heads:
+    """The first `n` words of the test suffixes that have so many, as hashes with a table of bits before them. What is not among them has no match of `n` words; what is may be something else of the same hash."""
+
+    BITS = 22
+
+    def __init__(self, items: Items, n: int):
+        self.n, self.number = n, np.flatnonzero(items.length >= n)
+        heads = _stretches(items.at, n)[items.place[self.number]]
+        order = np.argsort(heads)
+        self.heads, self.number = heads[order], self.number[order]
+        self.bits = np.zeros(1 << self.BITS, bool)
+        self.bits[self.heads >> _U(64 - self.BITS)] = True
+
+    def met(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, suffixes): which words stand in a stretch that begins a test suffix, in order, and the numbers of these suffixes."""
+        stretch = _stretches(hashes, self.n)
+        start = np.flatnonzero(self.bits[stretch >> _U(64 - self.BITS)])
+        # within one text
+        start = start[at[np.searchsorted(at, start, "right")] >= start + self.n] if len(start) else start
+        lo = np.searchsorted(self.heads, stretch[start])
+        found = lo < len(self.heads)
+        found[found] = self.heads[lo[found]] == stretch[start[found]]
+        start = start[found]
+        inside = np.zeros(len(hashes) + 1, np.int64)
+        inside[start] += 1
+        inside[start + self.n] -= 1
+        return np.flatnonzero(np.cumsum(inside[:-1])), np.sort(self.number[np.isin(self.heads, stretch[start])])
+
+
 def _blocks(benchmark: DataFrame, window: int) -> tuple[int, Iterator]:
     """(number of blocks, broadcasts of the test items): ITEM_BYTES of texts and ids at a time, each made when it is asked for; equal items are one, and those without a word, which hit nothing, stay where they are."""
     spark = benchmark.sparkSession
@@ -345,25 +385,37 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 13,
     each. Null or empty texts match nothing; a null doc_id or item_id is passed on as it
     is; repeated rows are each listed; of several places in a shard that match as long,
     one is listed. No items or no documents: no rows.
+
+    A match lies whole in stretches of `min_words` words that begin some test suffix.
+    Stretches are hashed and looked up first, and suffix arrays made of the words inside
+    those that are found alone, and searched for the suffixes that they begin alone: the
+    rest of the text, most of it, is neither sorted nor searched.
     """
+    if min_words < 1:
+        raise ValueError("min_words must be 1 or more")
     found = None
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for items in _blocks(benchmark, window)[1]:
 
         def f(batches, items=items):
             it = items.value
+            heads = Heads(it, min_words)
             for batch in slices(batches, "text"):
                 data, offsets = _text.utf8(batch.column(1))
                 hashes, at = _text.words(data, offsets, _text.ALNUM)
-                if not len(it.place):
+                inside, which = heads.met(hashes, at)
+                if not len(inside):
                     continue
-                for _, s, back in _shards(hashes, at, it.depth, it.depth - 1):
-                    best, where = it.longest(s)
+                # texts end where a word is left out, too
+                ends = np.union1d(np.searchsorted(inside, at), np.flatnonzero(np.diff(inside) > 1) + 1)
+                for _, s, back in _shards(hashes[inside], ends, it.depth, it.depth - 1):
+                    best, where = it.longest(s, which)
                     q = np.flatnonzero(best >= min_words)
-                    word = back[where[q]]
+                    word = inside[back[where[q]]]
+                    q = which[q]
                     row = np.searchsorted(at, word, "right") - 1
                     names = [it.ids[k] if k >= 0 else None for k in it.item[q]]
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(it.start[q]), pa.array(best[q]), batch.column(0).take(pa.array(row)), pa.array(word - at[row])], names=["item_id", "item_start", "length", "doc_id", "doc_start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(it.start[q]), pa.array(best[best >= min_words]), batch.column(0).take(pa.array(row)), pa.array(word - at[row])], names=["item_id", "item_start", "length", "doc_id", "doc_start"])
 
         part = stored(read.mapInArrow(f, "item_id string, item_start long, length long, doc_id long, doc_start long"))
         found = part if found is None else found.union(part)

@@ -1,0 +1,57 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from quern.llm import _text
+from quern.llm import decontaminate as D
+
+
+def _words(texts):
+    return _text.words(*_text.utf8(pa.array(texts, pa.string())), _text.ALNUM)
+
+
+def _plain(docs, items, least):
+    out = {}
+    for name, item in items:
+        v = (item or "").split()
+        for s in range(len(v)):
+            best = 0
+            for _, text in docs:
+                w = (text or "").split()
+                for p in range(len(w)):
+                    k = 0
+                    while s + k < len(v) and p + k < len(w) and v[s + k] == w[p + k]:
+                        k += 1
+                    best = max(best, k)
+            if best >= least:
+                out[name, s] = max(out.get((name, s), 0), best)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 5])
+def test_longest_matches_equal_a_plain_search_where_words_repeat(spark, least):
+    """Few words, so that matches begin and end everywhere, at the ends of texts, and in one another."""
+    rnd = random.Random(least)
+    text = lambda n, k: " ".join(rnd.choice("abcd"[:k]) for _ in range(n))
+    docs = [(i, text(rnd.randrange(25), 4 if i % 3 else 1)) for i in range(20)] + [(20, None), (21, "")]
+    items = [(str(i), text(rnd.randrange(20), 4 if i % 4 else 1)) for i in range(9)] + [("8", text(12, 4)), ("9", None)]
+    got = D.longest_by_suffix(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string"), least)
+    assert {(r["item_id"], r["item_start"]): r["length"] for r in got.collect()} == _plain(docs, items, least)
+    with pytest.raises(ValueError):
+        D.longest_matches(got, got, 0)
+
+
+def test_only_words_of_stretches_that_begin_test_suffixes_are_sorted():
+    """Of 50,000 words, those of three passages, one of which the end of a text cuts."""
+    rnd = random.Random(2)
+    item = [f"i{k}" for k in range(40)]
+    w = [f"w{rnd.randrange(10**6)}" for _ in range(50_000)]
+    w[1000:1030], w[2000:2013], w[3000:3012], w[5000:5020] = item[:30], item[27:], item[:12], item[10:30]
+    hashes, at = _words([" ".join(w[:5010]), None, "", " ".join(w[5010:])])
+    heads = D.Heads(D.Items([1, 2, 3], [" ".join(item), "i1 i2", None], 13), 13)
+    inside, which = heads.met(hashes, at)
+    assert inside.tolist() == [*range(1000, 1030), *range(2000, 2013)] and which.tolist() == [*range(18), 27]
+    assert [len(x) for x in heads.met(*_words(["w x", None]))] == [0, 0] and [len(x) for x in D.Heads(D.Items([], [], 13), 13).met(hashes, at)] == [0, 0]
+    assert np.array_equal(D._stretches(hashes, 13)[1000:1018], D._stretches(_words([" ".join(item)])[0], 13)[:18])
